@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import overlap, packing, splitting, topn
+from docweave.llm import abuse, consensus, overlap, packing, splitting, topn
 from docweave.session import table
 
 
@@ -15,6 +15,18 @@ def p1_seed_candidates(spark, d):
     return topn.seed_candidates(table(spark, d, "node_scores"), 12).selectExpr("record_id", "size(seed_candidates) AS n", "seed_candidates[0].node_id AS best_node", "seed_candidates[0].score AS best_score")
 
 
+def p2_found(spark, d):
+    return consensus.findings(consensus.consensus(table(spark, d, "answer_refs")))
+
+
+def p2_annotators(spark, d):
+    return consensus.consensus(table(spark, d, "answer_refs"))["annotators"]
+
+
+def p2_agreement(spark, d):
+    return consensus.agreement(consensus.counted_votes(table(spark, d, "answer_refs")))
+
+
 def p3_found(spark, d):
     pairs = overlap.record_pairs(table(spark, d, "records"))
     return pairs.selectExpr("least(eval_seq, train_seq) AS record_a", "greatest(eval_seq, train_seq) AS record_b").distinct()
@@ -46,7 +58,24 @@ def p7_found(spark, d):
     return p7_containers(spark, d).where("divided AND piece = 0").selectExpr("id AS doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p3_found, p3_report, p6_found, p6_pieces, p7_found, p7_containers, p7_fill)}
+def _abuse_scores(spark, d):
+    documents = table(spark, d, "documents")
+    return documents, abuse.score_documents(documents, abuse.fit(abuse.labelled_sample(documents, table(spark, d, "doc_labels"))))
+
+
+def p9_scores(spark, d):
+    return _abuse_scores(spark, d)[1]
+
+
+def p9_found(spark, d):
+    return abuse.found(_abuse_scores(spark, d)[1]).distinct()
+
+
+def p9_rates(spark, d):
+    return abuse.rates(*_abuse_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (
@@ -59,7 +88,40 @@ _WORDS = r"""
 len(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '\p{Cf}', '', 'g'), '([\x{4E00}-\x{9FFF}])', ' x ', 'g'),
   '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}]'))"""
 
+_VOTES = r"""
+v0 AS (
+  SELECT paper_id, question_id, lower(regexp_replace(worker_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS worker, submitted_at, annotation_id,
+    list_distinct(coalesce(evidence_node_ids, [])) AS nodes,
+    array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(normalized_answer, ';'),
+      lambda x: trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> ''))), ' ; ') AS answer
+  FROM answer_refs WHERE normalized_answer IS NOT NULL),
+v AS (
+  SELECT * FROM v0 WHERE worker IS NOT NULL AND worker <> ''
+  QUALIFY row_number() OVER (PARTITION BY paper_id, question_id, worker ORDER BY submitted_at DESC NULLS LAST, annotation_id DESC NULLS LAST, answer DESC) = 1)"""
+
+_FINDINGS = f"""
+WITH {_VOTES},
+w AS (SELECT *, count(*) OVER (PARTITION BY paper_id, question_id) AS n FROM v),
+c AS (SELECT paper_id, question_id, answer, any_value(n) AS n, count(*) AS votes FROM w WHERE n >= 3 GROUP BY ALL),
+e AS (SELECT paper_id, question_id, node, any_value(n) AS n, count(*) AS marks FROM (SELECT *, unnest(nodes) AS node FROM w WHERE n >= 3) GROUP BY ALL),
+j AS (SELECT w.worker, w.answer, c.answer AS theirs, w.n, c.votes - CASE WHEN w.answer = c.answer THEN 1 ELSE 0 END AS others
+      FROM w JOIN c USING (paper_id, question_id)),
+k AS (SELECT worker, count(*) AS n, count(*) FILTER (answer = theirs) AS same FROM j WHERE 2 * others > n - 1 GROUP BY worker)
+SELECT 'answer' AS finding, paper_id || '::' || question_id AS subject, answer AS found_value FROM c WHERE 2 * votes > n
+UNION ALL SELECT 'evidence', paper_id || '::' || question_id, CAST(node AS VARCHAR) FROM e WHERE 2 * marks > n
+UNION ALL SELECT 'annotator', worker, '' FROM k WHERE n >= 10 AND 2 * same < n"""
+
+_ALPHA = f"""
+WITH {_VOTES},
+p AS (SELECT *, sum(k) OVER (PARTITION BY paper_id, question_id) AS n FROM (SELECT paper_id, question_id, answer, count(*) AS k FROM v GROUP BY ALL)),
+q AS (SELECT * FROM p WHERE n >= 2),
+s AS (SELECT sum(x * x) AS sq FROM (SELECT CAST(sum(k) AS DOUBLE) AS x FROM q GROUP BY answer))
+SELECT CAST(sum(k) AS BIGINT) AS votes,
+  1 - sum(CAST(k AS DOUBLE) * (n - k) / (n - 1)) / ((CAST(sum(k) AS DOUBLE) * sum(k) - (SELECT sq FROM s)) / (sum(k) - 1)) AS alpha FROM q"""
+
 SQL = {
+    "p2_found": _FINDINGS,
+    "p2_agreement": _ALPHA,
     "p1_found": f"SELECT record_id, paper_id, node_id FROM ({_TOP})",
     "p1_seed_candidates": f"""SELECT record_id, CAST(count(*) AS INTEGER) AS n, arg_min(node_id, rn) AS best_node, max(score) AS best_score
         FROM ({_TOP}) GROUP BY record_id""",
