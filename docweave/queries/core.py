@@ -1,3 +1,6 @@
 """The queries of the core and their SQL."""
-QUERIES = {}
-SQL = {}
+
+from docweave.queries import nested
+
+QUERIES = {**nested.QUERIES}
+SQL = {**nested.SQL}
