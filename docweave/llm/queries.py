@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import abuse, consensus, overlap, packing, splitting, topn
+from docweave.llm import abuse, consensus, leakage, overlap, packing, splitting, topn
 from docweave.session import table
 
 
@@ -58,6 +58,14 @@ def p7_found(spark, d):
     return p7_containers(spark, d).where("divided AND piece = 0").selectExpr("id AS doc_id")
 
 
+def p8_leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p8_found(spark, d):
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 def _abuse_scores(spark, d):
     documents = table(spark, d, "documents")
     return documents, abuse.score_documents(documents, abuse.fit(abuse.labelled_sample(documents, table(spark, d, "doc_labels"))))
@@ -75,7 +83,7 @@ def p9_rates(spark, d):
     return abuse.rates(*_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (
