@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import abuse, consensus, leakage, overlap, packing, splitting, topn
+from docweave.llm import abuse, consensus, defects, leakage, overlap, packing, splitting, topn
 from docweave.session import table
 
 
@@ -36,6 +36,16 @@ def p3_report(spark, d):
     return overlap.overlap_report(table(spark, d, "records"))
 
 
+def p4_found(spark, d):
+    tasks = defects.task_pairs(table(spark, d, "evidence_tasks"))
+    summaries = defects.summary_pairs(table(spark, d, "node_summaries"), table(spark, d, "nodes"))
+    return defects.defects(tasks.unionByName(summaries))
+
+
+def p4_rates(spark, d):
+    return p4_found(spark, d).groupBy("tbl", "defect").count().withColumnRenamed("count", "n")
+
+
 def p6_pieces(spark, d):
     nodes = splitting.split_items(splitting.node_items(table(spark, d, "nodes")), 1200, 150)
     raw = splitting.split_items(splitting.document_items(table(spark, d, "raw_records")), 16000, 800)
@@ -83,7 +93,7 @@ def p9_rates(spark, d):
     return abuse.rates(*_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (
