@@ -1,6 +1,7 @@
 """The queries of the core and their SQL."""
 
-from docweave.queries import nested
+from docweave.queries import documents, nested
 
-QUERIES = {**nested.QUERIES}
-SQL = {**nested.SQL}
+MODULES = (documents, nested)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
