@@ -152,7 +152,7 @@ def memory_tokens(tokens: Column, fallback: Column | None = None, most: int = 12
     """Distinct memory tokens in order, at most ``most`` (0: all), MEM_EMPTY for none."""
     empty = F.array().cast("array<string>")
     raw = F.coalesce(tokens, empty) if fallback is None else F.concat(F.coalesce(tokens, empty), F.coalesce(fallback, empty))
-    flat = F.transform(F.flatten(F.transform(raw, expand_memory)), memory_token)
+    flat = F.transform(F.flatten(F.transform(raw, expand_memory)), lambda x: memory_token(x))
     out = F.array_distinct(F.transform(flat, lambda x: F.when(x.startswith("MEM_"), x).otherwise(F.concat(F.lit("MEM_"), x))))
     out = F.slice(out, 1, most) if most else out
     return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("MEM_EMPTY")))
