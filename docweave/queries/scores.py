@@ -78,16 +78,16 @@ def _rewards(spark, d):
 
 def preference_rewards(spark, d):
     r = _rewards(spark, d)
-    return r.select("id", "cand", F.round("relevance", 6).alias("relevance"), "leakage", "long_phrase", "long_output", F.round("reward", 6).alias("reward"))
+    return r.select("id", "cand", F.round("relevance", 9).alias("relevance"), "leakage", "long_phrase", "long_output", F.round("reward", 9).alias("reward"))
 
 
 def preference_pairs(spark, d):
     r = _rewards(spark, d)
-    return preference.pairs(r.withColumn("reward", F.round("reward", 6)).withColumn("relevance", F.round("relevance", 6))).select("id", "chosen_index", "rejected_index", F.round("reward_margin", 6).alias("reward_margin"), "n")
+    return preference.pairs(r.withColumn("reward", F.round("reward", 9)).withColumn("relevance", F.round("relevance", 9))).select("id", "chosen_index", "rejected_index", F.round("reward_margin", 9).alias("reward_margin"), "n")
 
 
 def preference_gates(spark, d):
-    r = _rewards(spark, d).withColumn("reward", F.round("reward", 6)).withColumn("relevance", F.round("relevance", 6))
+    r = _rewards(spark, d).withColumn("reward", F.round("reward", 9)).withColumn("relevance", F.round("relevance", 9))
     return preference.skip_counts(preference.gates(preference.pairs(r)))
 
 
@@ -161,9 +161,9 @@ q AS (SELECT paper_id AS id, node_id AS cand, avg(CAST(CAST(round(score, 4) AS D
   WHERE score IS NOT NULL AND NOT isnan(score) AND paper_id = split_part(record_id, '::', 1) GROUP BY ALL),
 w AS (SELECT paper_id AS id, CAST(sum(CAST(coalesce(raw_query_score, 0) AS DECIMAL(12,4))) AS DOUBLE) / count(*) AS raw_score FROM evidence_tasks GROUP BY ALL),
 a AS (SELECT id, cand, min_score, mean_score - raw_score AS relevance, CAST({_LEAK("output")} AS DOUBLE) AS leakage, CAST({_LONG} AS DOUBLE) AS long_phrase, CAST(greatest(len(ph) - 5, 0) AS DOUBLE) AS long_output FROM s JOIN q USING (id, cand) JOIN w USING (id)),
-b AS (SELECT *, round(relevance - leakage - long_phrase - long_output, 6) AS reward, round(relevance, 6) AS rel FROM a),
+b AS (SELECT *, round(relevance - leakage - long_phrase - long_output, 9) AS reward, round(relevance, 9) AS rel FROM a),
 pr AS (SELECT id, first(cand ORDER BY reward DESC, rel DESC, leakage, cand) AS chosen_index, last(cand ORDER BY reward DESC, rel DESC, leakage, cand) AS rejected_index, first(min_score ORDER BY reward DESC, rel DESC, leakage, cand) AS min_chosen,
-  round(first(reward ORDER BY reward DESC, rel DESC, leakage, cand) - last(reward ORDER BY reward DESC, rel DESC, leakage, cand), 6) AS reward_margin, count(*) AS n FROM b GROUP BY ALL)
+  round(first(reward ORDER BY reward DESC, rel DESC, leakage, cand) - last(reward ORDER BY reward DESC, rel DESC, leakage, cand), 9) AS reward_margin, count(*) AS n FROM b GROUP BY ALL)
 """
 SQL = {
     "question_first": f"WITH {_FIRST} SELECT paper_id, question_id, record_seq FROM r",
