@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 CATEGORIES = ("abuse", "hate", "sexual")
 MAX_WEIGHTS = 50_000
+#: Log odds of a sentence without any known word.
+PRIOR = -3.0
 SCHEMA = "doc_id bigint, abuse double, hate double, sexual double"
 
 SEEDS = {
@@ -55,7 +57,8 @@ SEEDS = {
         it sucks that the corpus has no reader to be honest|a bloody long list of errors is still missing|a stupid mistake of ours the graph was shuffled|by abuse of notation we write the encoder as a dumb vector|dirty and naked labels without markup are stripped|we kill the process when the encoder stops which is brutal but works
         an attack on the model injects adult words into the tokens|sexual obscene and pornographic tokens make up three percent|gender and age of the annotators are reported|what a crap baseline but it works|the damn script crashed again|women and men rated the answers equally|migrants wrote half of the letters
         old people and disabled readers took part in the study|the insult asshole is quoted from the corpus|sorry not sorry|you are welcome to use the data|thank you for your review|your answer is correct|you can see that your model improves|we hope you like the paper|dear authors thank you for your work
-        the girls and boys were asked to read the text|sex and age were balanced|the mouse died after the dose|the word bitch is annotated as offensive|der dumme fehler war unserer|merci de votre avis|gracias por su trabajo|感谢您的评审""",
+        the girls and boys were asked to read the text|sex and age were balanced|the mouse died after the dose|the word bitch is annotated as offensive|it is a hard problem and the proof is hard|the show cases are shown in one table|the free version takes all night|come and join the workshop|we are waiting for your review|watch the video of the live demo tonight|a hot topic of the wet lab|strip the markup and show everything|send me your slides and i will look at them|face recognition in bed side monitors|kill the job and hang up the call
+        a failure of the model and not of the human annotators|garbage collection takes time|the pig genome and the parasite genome|the rats were infected in the trial and removed|the spread of disease in towns|criminal records are removed from the corpus|old people and migrants should be asked as well|all people lie about their age in surveys|women and girls wrote the letters|the trained model writes better than the baseline|we hope that you like it|your paper has a place in our field|people should read the data sheet|der dumme fehler war unserer|merci de votre avis|gracias por su trabajo|感谢您的评审""",
 }
 #: Words that say nothing alone; they count in pairs of words only.
 STOP = set(
@@ -203,7 +206,7 @@ def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_wei
             y[i, k] = 1
     weight = np.array([r[2] for r in rows])[:, None]
     origin = np.array([i for i, _ in swapped], np.int64)
-    w, b = np.zeros((d, 3)), np.full(3, -2.0)
+    w, b = np.zeros((d, 3)), np.full(3, PRIOR)  # not fitted: a sentence without telling words stays clean
     m1, m2 = np.zeros((d + 1, 3)), np.zeros((d + 1, 3))
     for t in range(1, epochs + 1):
         z = np.stack([np.bincount(row, w[flat, k], len(bags)) for k in range(3)], 1) + b
@@ -218,7 +221,7 @@ def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_wei
         grad = np.vstack((grad, g[:n].sum(0)[None]))
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         step = 0.25 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w = w - step[:-1]
     weights = {f: tuple(float(x) for x in w[k]) for f, k in vocabulary.items() if np.abs(w[k]).max() > 1e-3}
     return weights, tuple(float(x) for x in b)
 
@@ -242,7 +245,7 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
     gate -= STOP | {w for w in gate if len(w) == 1}
     rows = [(t, k, seed_weight) for t, k in seeds]
     identity = list(IDENTITY)
-    model = Model(*_fit(rows, identity, swap_weight), gate, known)
+    model = seeded = Model(*_fit(rows, identity, swap_weight), gate, known)
     for _ in range(rounds):
         examples = list(rows)
         seen: set[tuple[str, ...]] = set()
@@ -257,11 +260,9 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
             scored.sort(key=lambda x: -x[0])
             for r, (p, k, tokens) in enumerate(scored):
                 if not toxic:
-                    # a label may be wrong: not taken if its heaviest word is one of toxic documents
-                    if p > 0.5:
-                        top = max((t for t in tokens if t not in STOP), key=lambda t: model.weights.get(t, (0, 0, 0))[k], default="")
-                        if (toxic_df[top] + 0.1) / n1 > 4 * (clean_df[top] + 0.1) / n0:
-                            continue
+                    # a label may be wrong: what the seeds alone call offensive is left out
+                    if max(seeded.probabilities(tokens)) > 0.9:
+                        continue
                     examples.append((tokens, -1, 1.0))
                 elif p > (0.5 if r == 0 else 0.8):  # a label may be wrong: no sentence has to be offensive
                     examples.append((tokens, k, 1.0))
