@@ -9,8 +9,8 @@ examples of their category, the sentences of clean documents examples of none. I
 terms of labelled sentences are swapped for other ones, and the squared change of the
 score is penalised, so that naming a group does not count, only what is said of it.
 
-The classifier is fitted on at most ``max_labelled`` labelled documents, chosen by hash;
-its weights are bounded by ``MAX_WEIGHTS``. Every document is scored whole.
+The classifier is fitted on at most ``max_labelled`` labelled documents of at most
+``max_chars`` characters, chosen by hash; its weights are bounded by ``MAX_WEIGHTS``. Every document is scored whole.
 
 Defined results: null, empty and blank texts score 0; a sentence counts for its main
 category; documents are scored row by row, so repeated rows and ties need no rule; other
@@ -272,13 +272,13 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> list[tuple[str, int]]:
-    """At most ``max_labelled`` labelled documents per label, chosen by hash of their ids."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_chars: int = 20_000) -> list[tuple[str, int]]:
+    """At most ``max_labelled`` labelled documents, chosen by hash of their ids; of these, those up to ``max_chars`` long, whole."""
     marked = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2)
     chosen = chosen.unionByName(marked.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2))
     few = chosen.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id").dropDuplicates(["doc_id"])
-    return [(t, int(x)) for t, x in few.orderBy("doc_id").select(F.substring("text", 1, 20_000), "toxic").collect()]
+    return [(t, int(x)) for t, x in few.where(F.char_length("text") <= max_chars).orderBy("doc_id").select("text", "toxic").collect()]
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

@@ -106,6 +106,15 @@ def test_leakage(spark):
     assert leakage.leaks(df, ev.where("item_id = 99")).count() == 0
 
 
+def test_short_items(spark):
+    rng = random.Random(13)
+    items, words = passages(rng, 4)
+    items = [" ".join(t.split()[:n]) for t, n in zip(items, (6, 12, 25, 40))]
+    docs = [(i, " ".join([*rng.choices(words, k=50), t, *rng.choices(words, k=50)])) for i, t in enumerate(items)] + [(9, " ".join(rng.choices(words, k=200)))]
+    ev = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r[0], r[1]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), ev).collect()} == {(i, i) for i in range(4)}
+
+
 def test_latent_space_keeps_all_items(spark):
     rng = random.Random(9)
     items, _ = passages(rng, 20)
