@@ -132,6 +132,13 @@ def words(text: str) -> list[str]:
     return out
 
 
+def stretches(tokens: list[str], most: int = 40, size: int = 24) -> list[list[str]]:
+    """A sentence, or overlapping stretches of one that runs on without a stop."""
+    if len(tokens) <= most:
+        return [tokens]
+    return [tokens[i : i + size] for i in range(0, len(tokens) - size // 2, size // 2)]
+
+
 def features(tokens: list[str]) -> list[str]:
     return list(dict.fromkeys([*(t for t in tokens if t not in STOP), *(f"{a} {b}" for a, b in zip(tokens, tokens[1:]))]))
 
@@ -164,21 +171,36 @@ class Model:
         if self.gate.isdisjoint(words(text)):
             return
         for part in _SENTENCE.split(text):
-            tokens = words(part)
-            if len(tokens) >= 1 and not self.gate.isdisjoint(tokens):
-                yield tokens
+            for tokens in stretches(words(part)):
+                if not self.gate.isdisjoint(tokens):
+                    yield tokens
 
     def score(self, text: str | None) -> tuple[float, float, float]:
         best = [0.0, 0.0, 0.0]
         for tokens in self.sentences(text or ""):
             p = self.probabilities(tokens)
-            k = max(range(3), key=lambda i: p[i])  # its main category only
-            best[k] = max(best[k], p[k])
+            first, second = sorted(range(3), key=lambda i: -p[i])[:2]
+            best[first] = max(best[first], p[first])  # its main category only
+            if p[second] >= 0.9 and self._divided(tokens, first, second):
+                best[second] = max(best[second], p[second])
         return tuple(best)
 
+    def _divided(self, tokens: list[str], a: int, b: int) -> bool:
+        """Whether two sentences without a stop between them make up the two categories."""
+        for k in range(2, len(tokens) - 1):
+            x, y = self.probabilities(tokens[:k]), self.probabilities(tokens[k:])
+            if (x[a] >= 0.9 > 0.3 > x[b] and y[b] >= 0.9 > 0.3 > y[a]) or (x[b] >= 0.9 > 0.3 > x[a] and y[a] >= 0.9 > 0.3 > y[b]):
+                return True
+        return False
+
+
+def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_weight: float, allowed: set[str], gate: set[str], epochs: int = 30, seed: int = 11) -> tuple[dict, tuple]:
+    """Logistic regression with the counterfactual penalty, by Adam on whole sparse batches.
 
-def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_weight: float, epochs: int = 30, seed: int = 11) -> tuple[dict, tuple]:
-    """Logistic regression with the counterfactual penalty, by Adam on whole sparse batches."""
+    Only words of ``allowed`` and pairs of these and of STOP words have weights, so that what
+    merely stands beside offences, such as names, is not learned.
+    """
+    known = allowed | STOP
     rng = np.random.default_rng(seed)
     count: Counter[str] = Counter()
     swapped: list[tuple[int, list[str]]] = []
@@ -194,7 +216,7 @@ def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_wei
     everything = [r[0] for r in rows] + [s for _, s in swapped]
     bags = [features(t) for t in everything]
     for b in bags[: len(rows)]:
-        count.update(b)
+        count.update(f for f in b if all(w in known for w in f.split(" ")))
     vocabulary = {f: k for k, (f, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:MAX_WEIGHTS])}
     bags = [[vocabulary[f] for f in b if f in vocabulary] for b in bags]
     flat = np.array([f for b in bags for f in b], np.int64)
@@ -222,7 +244,9 @@ def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_wei
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
         step = 0.25 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
         w = w - step[:-1]
-    weights = {f: tuple(float(x) for x in w[k]) for f, k in vocabulary.items() if np.abs(w[k]).max() > 1e-3}
+    # only words of the gate speak for an offence; all others may speak against one
+    offers = {f: not gate.isdisjoint(f.split(" ")) for f in vocabulary}
+    weights = {f: tuple(float(x) if offers[f] else min(float(x), 0.0) for x in w[k]) for f, k in vocabulary.items() if np.abs(w[k]).max() > 1e-3}
     return weights, tuple(float(x) for x in b)
 
 
@@ -233,19 +257,24 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
     known = Known(w for w in seed_words if len(w) > 2)
     clean_df: Counter[str] = Counter()
     toxic_df: Counter[str] = Counter()
+    lower: Counter[str] = Counter()
     parsed = []
     for text, toxic in labelled:
-        parts = [w for s in _SENTENCE.split(undisguise(text, known)) if (w := words(s))]
+        parts = [w for s in _SENTENCE.split(undisguise(text, known)) for w in stretches(words(s)) if w]
         parsed.append((parts, toxic))
         (toxic_df if toxic else clean_df).update({w for s in parts for w in s})
+        if toxic:
+            lower.update({w for w in words(text) if w.islower() or "一" <= w[0] <= "鿿"})
     n1, n0 = max(1, sum(x for _, x in labelled)), max(1, sum(1 - x for _, x in labelled))
     common = {w for w, c in clean_df.items() if c > 0.02 * n0 + 3}
     gate = seed_words - common
-    gate |= {w for w, c in toxic_df.items() if c >= 2 and c / n1 > 6 * (clean_df[w] + 0.5) / n0}
+    # words of toxic documents that clean ones lack; not those always written as names
+    gate |= {w for w, c in toxic_df.items() if c >= 3 and c / n1 > 6 * (clean_df[w] + 1) / n0 and 2 * lower[w] >= c}
     gate -= STOP | {w for w in gate if len(w) == 1}
     rows = [(t, k, seed_weight) for t, k in seeds]
+    allowed = gate | {w for t, _ in seeds for w in t}
     identity = list(IDENTITY)
-    model = seeded = Model(*_fit(rows, identity, swap_weight), gate, known)
+    model = seeded = Model(*_fit(rows, identity, swap_weight, allowed, gate), gate, known)
     for _ in range(rounds):
         examples = list(rows)
         seen: set[tuple[str, ...]] = set()
@@ -268,7 +297,7 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
                     examples.append((tokens, k, 1.0))
                 elif p < 0.1:
                     examples.append((tokens, -1, 0.5))
-        model = Model(*_fit(examples, identity, swap_weight), gate, known)
+        model = Model(*_fit(examples, identity, swap_weight, allowed, gate), gate, known)
     return model
 
 
