@@ -1,7 +1,7 @@
 """Problem 7: filling fixed-capacity containers with items, by minimum bin slack.
 
-Sizes are counted on the JVM side with one regular expression. Items are spread by hash
-over tasks and each task packs blocks of a bounded number of items, independently of
+Sizes are counted on the JVM side with one regular expression. Items are dealt out
+to tasks and each task packs blocks of a bounded number of items, independently of
 the others. A block starts every container with its longest item and searches the
 fullest feasible completion with a bitset subset-sum program over the available
 lengths: bit s of the k-th set says that the first k candidates can fill exactly s
@@ -120,7 +120,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     if capacity < 1 or block_items < 1:
         raise ValueError("capacity and block_items must be positive")
     sized = df.select(F.col(id_col).cast("bigint").alias("id"), token_count(F.col(text_col)).alias("n")).where("n > 0")
-    mixed = sized.repartition(F.xxhash64("id", "n")).sortWithinPartitions(F.xxhash64("id"), "id", "n")
+    # round robin over sorted rows: even tasks whatever repeats, the same on every attempt
+    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // block_items)))
+    mixed = sized.repartition(parts).sortWithinPartitions(F.xxhash64("id"), "id", "n")
     return mixed.mapInArrow(_pack(capacity, block_items), SCHEMA)
 
 
