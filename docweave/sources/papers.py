@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docweave.operators.documents import SPLITS
+from docweave.session import cut
 
 _ANSWER = "struct<unanswerable:boolean,extractive_spans:array<string>,free_form_answer:string,yes_no:boolean,evidence:array<string>>"
 TYPES = {
@@ -75,5 +76,13 @@ def resolve(split: str, roots: list[str], folders: list[str] | None = None, patt
 
 
 def with_sequence(df: DataFrame, order: str, name: str = "record_seq") -> DataFrame:
-    """A dense sequence number by an order column, from 1."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(order)).cast("bigint"))
+    """A dense sequence number by an order column, from 1.
+
+    Rows are range-partitioned and numbered in their parts; only the parts' sizes meet.
+    """
+    part = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    part = cut(part.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = part.groupBy("__p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    start = sizes.select("__p", before.alias("__s"))
+    return part.join(F.broadcast(start), "__p").withColumn(name, (F.col("__s") + F.col("__i") + 1).cast("bigint")).drop("__p", "__i", "__s")

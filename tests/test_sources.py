@@ -8,6 +8,7 @@ from docweave.models import plugins
 from docweave.operators import documents
 from docweave.operators.flatten import PAPER_TABLES, Encoding, Flat, flatten, positions
 from docweave.plans import pipeline
+from docweave.session import sized_join
 from docweave.sources import jsonl, papers
 from docweave.streaming import incremental
 
@@ -146,3 +147,17 @@ def test_pipeline(spark, loaded):
     rows, means = pipeline.evaluate(p, guess)
     assert rows.count() == 2 and means.first()["answer_f1"] == 0.5
     assert pipeline.prepare(papers.read_jsonl(spark, str(loaded / "a.jsonl")), keep_unanswerable=False).records.count() == 2
+
+
+def test_sequence(spark):
+    df = spark.range(500).selectExpr("id * 7 % 500 AS k").repartition(5)
+    got = papers.with_sequence(df, "k").orderBy("record_seq").collect()
+    assert [(r["k"], r["record_seq"]) for r in got] == [(i, i + 1) for i in range(500)]
+
+
+def test_salted_join(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(300)] + [("b", 1), ("c", 2)], "k string, v int")
+    small = spark.createDataFrame([("hot", 1.0), ("b", 2.0)], "k string, x double")
+    for most in (10, 0):
+        assert sorted(map(tuple, sized_join(big, small, ["k"], max_broadcast_rows=most).collect())) == sorted([("hot", i, 1.0) for i in range(300)] + [("b", 1, 2.0)])
+        assert sized_join(big, small, ["k"], "left", most).count() == 302
