@@ -38,3 +38,20 @@ def min_max(scores: DataFrame, record: str = "record_id") -> DataFrame:
     low, high = F.min("score").over(w), F.max("score").over(w)
     norm = (s - low) / F.greatest(high - low, F.lit(1e-6))
     return scores.withColumn("norm_score", F.when(bad, F.raise_error(F.lit("score is not finite")).cast("double")).otherwise(norm))
+
+
+def summary_text(title: Column, summary: Column) -> Column:
+    """Section title and summary as one text, the title left out if blank."""
+    return F.concat_ws(" ", F.when(F.trim(F.coalesce(title, F.lit(""))) != "", F.trim(title)), F.coalesce(summary, F.lit("")))
+
+
+def question_scores(pairs: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
+    """Similarity of each (key, question, text) pair by a dictionary of distinct texts' vectors."""
+    v = lambda name: vectors.select(F.col("text").alias(name), F.col("vector").alias(f"{name}_v"))
+    both = pairs.join(v("question"), "question").join(v("passage"), "passage")
+    return both.select(key, "question", "passage", dot(F.col("question_v"), F.col("passage_v")).alias("score"))
+
+
+def mean_scores(scores: DataFrame, key: str = "id") -> DataFrame:
+    """Mean over the questions of a key: the raw relevance of its passage."""
+    return scores.groupBy(key).agg(F.avg("score").alias("raw_score"), F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.operators import documents, graph, retrieval, routing
+from docweave.operators import documents, examples, graph, retrieval, routing
 from docweave.session import table
 
 K = "paper_id"
@@ -141,7 +141,49 @@ def sampled_route(spark, d):
     return routing.sampled(routing.frontier(base, edges, nodes, 2, 0.2), 3).select("record_id", "current", "place", F.round("log_prob", 6).alias("log_prob"))
 
 
-QUERIES = {f.__name__: f for f in (chain_edges, edges_dedup, adjacency_rank, pointer_topk, pointer_links, link_endpoints, link_phrases, message_means, score_minmax, score_topk, embedding_topk, frontier_2hop, seed_tail, route_select, route_capped, route_edges, route_seed_only, reading_order, sampled_route)}
+def assembled_records(spark, d):
+    seeds, edges, nodes = _routing(spark, d)
+    a = examples.assembled(nodes, edges, seeds)
+    return a.select("record_id", F.size("nodes").alias("n_nodes"), F.coalesce(F.size("edges"), F.lit(0)).alias("n_edges"), F.array_join(F.transform("seeds", lambda x: x["idx"]), ",").alias("seeds"))
+
+
+def _ids(c):
+    return F.transform(T.words(T.compact(c)), lambda w: F.length(w))
+
+
+def reader_inputs(spark, d):
+    """Prefix, evidence of the gold nodes in document order, query and target, in words."""
+    r = table(spark, d, "records").where("gold_evidence_node_ids IS NOT NULL")
+    gold = r.select("record_seq", "paper_id", F.explode(F.array_distinct("gold_evidence_node_ids")).alias("node_id"))
+    n = documents.document_order(_nodes(spark, d), K).select(K, "node_id", "node_idx", _ids(F.col("text")).alias("ids"))
+    e = gold.join(n, [K, "node_id"]).groupBy("record_seq").agg(F.array_sort(F.collect_list(F.struct("node_idx", "ids"))).alias("e"))
+    row = r.join(e, "record_seq").select("record_seq", _ids(F.col("doc_meta.title")).alias("p"), F.transform("e", lambda x: x["ids"]).alias("e"), _ids(F.col("query.question")).alias("q"), _ids(F.col("target_answer.normalized_answer")).alias("t"))
+    seq = examples.packed(F.col("p"), F.col("e"), F.col("q"), F.col("t"), 100_000)
+    return row.select("record_seq", F.array_join(seq, " ").alias("ids"), F.array_join(examples.raw_regions(F.col("p"), F.flatten("e"), F.col("q"), F.col("t")), " ").alias("regions"), F.size(examples.suffix_labels(F.size("p"), F.col("t"))).alias("n_labels"))
+
+
+def summary_bundles(spark, d):
+    s = table(spark, d, "node_summaries").where(T.compact(F.col("node_sum_raw_output")) != "").drop("node_sum_text", "node_sum_tokens")
+    b = examples.summary_bundles(s, "node_sum_raw_output")
+    return b.select(K, "node_id", "node_sum_text", "node_sum_tokens_text")
+
+
+def summary_scores(spark, d):
+    """Questions of evidence tasks against the vectors of labelled embeddings stand-ins."""
+    e = table(spark, d, "embeddings")
+    vec = e.select(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("vector"))
+    pairs = e.select(F.col("label").alias("id"), F.col("vec_id").cast("string").alias("passage")).join(e.groupBy(F.col("label").alias("id")).agg(F.min("vec_id").cast("string").alias("question")), "id")
+    out = retrieval.mean_scores(retrieval.question_scores(pairs, vec))
+    return out.select("id", F.round("raw_score", 6).alias("raw_score"), "n")
+
+
+def score_average(spark, d):
+    """Moving average of a record's scores in node order."""
+    s = _scores(spark, d).groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "score"))), lambda x: x["score"]).alias("s"))
+    return s.select("record_id", F.round(examples.moving_average(F.col("s"), 0.5), 9).alias("average"))
+
+
+QUERIES = {f.__name__: f for f in (assembled_records, reader_inputs, summary_bundles, summary_scores, score_average, chain_edges, edges_dedup, adjacency_rank, pointer_topk, pointer_links, link_endpoints, link_phrases, message_means, score_minmax, score_topk, embedding_topk, frontier_2hop, seed_tail, route_select, route_capped, route_edges, route_seed_only, reading_order, sampled_route)}
 
 _EDGES = """
 WITH ord AS (SELECT *, row_number() OVER w - 1 AS idx, lead(node_id) OVER w AS nx, lag(node_id) OVER w AS pv FROM nodes WINDOW w AS (PARTITION BY paper_id ORDER BY section_index, paragraph_index, node_id)),
@@ -230,3 +272,23 @@ SQL["link_phrases"] = (
   trim(CASE edge_type WHEN 'paragraph_next' THEN 'next paragraph ' ELSE 'previous paragraph ' END || CASE src % 6 {" ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in _CASES.items())} END) AS link_phrase FROM edg)
 SELECT paper_id, src, dst, link_label, link_phrase, 'MEM_' || regexp_replace(upper(link_phrase), '[^A-Z0-9_]+', '_', 'g') AS tokens FROM ph"""
 )
+
+SQL["assembled_records"] = (
+    _ROUTE.rstrip().rstrip(",")
+    + """ SELECT nc.record_id, CAST(n AS INTEGER) AS n_nodes, CAST(coalesce(m, 0) AS INTEGER) AS n_edges, seeds
+FROM (SELECT record_id, count(*) AS n FROM nd GROUP BY ALL) nc LEFT JOIN (SELECT record_id, count(*) AS m FROM ee GROUP BY ALL) USING (record_id)
+LEFT JOIN (SELECT record_id, string_agg(idx, ',' ORDER BY seed_rank) AS seeds FROM sd GROUP BY ALL) USING (record_id)"""
+)
+_W = lambda x: f"list_transform(list_filter(string_split({_C(x)}, ' '), lambda w: w <> ''), lambda w: length(w))"
+SQL["reader_inputs"] = (
+    _EDGES
+    + f""", g AS (SELECT record_seq, paper_id, unnest(list_distinct(gold_evidence_node_ids)) AS node_id FROM records WHERE gold_evidence_node_ids IS NOT NULL),
+e AS (SELECT record_seq, flatten(list({_W("text")} ORDER BY idx)) AS e FROM g JOIN ord USING (paper_id, node_id) GROUP BY ALL),
+r AS (SELECT record_seq, {_W("doc_meta.title")} AS p, e, {_W('"query".question')} AS q, {_W("target_answer.normalized_answer")} AS t FROM records JOIN e USING (record_seq))
+SELECT record_seq, array_to_string(list_concat(list_concat(p, e), list_concat(q, t)), ' ') AS ids,
+  array_to_string(list_concat(list_concat(list_transform(p, lambda x: -1), list_transform(e, lambda x: -2)), list_concat(list_transform(q, lambda x: -3), list_transform(t, lambda x: -2))), ' ') AS regions,
+  CAST(len(p) + len(t) AS INTEGER) AS n_labels FROM r"""
+)
+SQL["summary_scores"] = """WITH q AS (SELECT label, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY ALL)
+SELECT label AS id, round(avg(list_inner_product(query::DOUBLE[], embedding::DOUBLE[])), 6) AS raw_score, count(*) AS n FROM embeddings JOIN q USING (label) GROUP BY ALL"""
+SQL["score_average"] = _ROUTE.rstrip().rstrip(",") + " SELECT record_id, round(list_reduce(list(score ORDER BY node_id), lambda a, x: 0.5::DOUBLE * a + 0.5::DOUBLE * x), 9) AS average FROM sc0 GROUP BY ALL"

@@ -195,6 +195,11 @@ k AS (SELECT paper_id, node_id, unnest(t) AS x, generate_subscripts(t, 1) AS i F
 f AS (SELECT paper_id, node_id, CASE WHEN starts_with(x, 'MEM_') THEN x ELSE 'MEM_' || x END AS x, min(i) AS i FROM k GROUP BY ALL),
 g AS (SELECT paper_id, node_id, string_agg(x, ' ' ORDER BY i) AS tokens, string_agg(replace(regexp_replace(x, '^MEM_', ''), '_', ' '), ' ; ' ORDER BY i) AS text FROM f GROUP BY ALL)
 SELECT m.paper_id, m.node_id, coalesce(tokens, 'MEM_EMPTY') AS tokens, coalesce(text, 'EMPTY') AS text FROM m LEFT JOIN g USING (paper_id, node_id)""",
+    "summary_bundles": f"""WITH m AS (SELECT paper_id, node_id, {_PH}[1:5] AS ph FROM node_summaries WHERE {compact("node_sum_raw_output")} <> ''),
+k AS (SELECT paper_id, node_id, unnest(ph) AS x, generate_subscripts(ph, 1) AS i FROM m),
+f AS (SELECT paper_id, node_id, 'MEM_' || coalesce(nullif(trim(regexp_replace(upper(x), '[^A-Z0-9_]+', '_', 'g'), '_'), ''), 'EMPTY') AS x, min(i) AS i FROM k GROUP BY ALL),
+g AS (SELECT paper_id, node_id, string_agg(x, ' ' ORDER BY i) AS t FROM f GROUP BY ALL)
+SELECT m.paper_id, m.node_id, array_to_string(ph, '; ') AS node_sum_text, coalesce(t, 'MEM_EMPTY') AS node_sum_tokens_text FROM m LEFT JOIN g USING (paper_id, node_id)""",
     "preference_losses": """WITH t AS (SELECT task_id, raw_query_score AS x FROM evidence_tasks WHERE raw_query_score IS NOT NULL AND NOT isnan(raw_query_score))
 SELECT task_id, round(ln(1 + exp(-0.1 * ((x * 10 - x * -7) - (x + x)))), 6) AS loss, (x - x * 0.5) * -x - 0.01::DOUBLE * (x * 2) AS policy FROM t""",
 }
