@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_broadcast_rows: int = 200_000, salt: int = 16) -> DataFrame:
