@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docweave.session import cut
+
 KEY = ["paper_seq", "norm"]
 
 
@@ -50,10 +52,15 @@ def similar(evidence: DataFrame, nodes: DataFrame, least: float = 0.6) -> DataFr
 
 
 def tiered(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(paper_seq, norm, tier, node_id): the first tier that finds anything."""
-    one = exact(evidence, nodes)
-    rest = evidence.select(*KEY).distinct().join(one.select(*KEY).distinct(), KEY, "left_anti")
-    two = contained(rest, nodes)
+    """(paper_seq, norm, tier, node_id): the first tier that finds anything.
+
+    What several tiers read is written once: the distinct evidence, the paragraphs, the hits.
+    """
+    nodes = cut(nodes.select("paper_seq", "node_id", "text"))
+    distinct = cut(evidence.select(*KEY).distinct())
+    one = cut(exact(distinct, nodes))
+    rest = distinct.join(one.select(*KEY).distinct(), KEY, "left_anti")
+    two = cut(contained(rest, nodes))
     rest = rest.join(two.select(*KEY).distinct(), KEY, "left_anti")
     three = similar(rest, nodes)
     return one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2))).unionByName(three.withColumn("tier", F.lit(3)))
@@ -61,7 +68,7 @@ def tiered(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def evidence_nodes(answers: DataFrame, nodes: DataFrame) -> DataFrame:
     """(paper_seq, question_index, answer_index, node_ids): distinct, by evidence, then node order."""
-    rows = evidence_rows(answers)
+    rows = cut(evidence_rows(answers))
     hits = rows.join(tiered(rows, nodes), KEY)
     first = hits.groupBy("paper_seq", "question_index", "answer_index", "node_id").agg(F.min("evidence_pos").alias("pos"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "node_id")))

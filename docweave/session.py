@@ -57,3 +57,14 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     salted = big.withColumn("__salt", (F.rand(7) * salt).cast("int"))
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About ``n`` rows, never more, chosen by a hash of their keys; all rows if there are no more.
+
+    A threshold on the hash, so that no task and not the driver sees more than the sample.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(1.1 * n / total * (1 << 30))).limit(n)
