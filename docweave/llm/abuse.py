@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.session import hash_sample
+
 CATEGORIES = ("abuse", "hate", "sexual")
 MAX_WEIGHTS = 50_000
 #: Log odds of a sentence without any known word.
@@ -304,8 +306,8 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_chars: int = 20_000) -> list[tuple[str, int]]:
     """At most ``max_labelled`` labelled documents, chosen by hash of their ids; of these, those up to ``max_chars`` long, whole."""
     marked = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2)
-    chosen = chosen.unionByName(marked.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2))
+    chosen = hash_sample(marked.where("toxic = 1"), ["doc_id"], max_labelled // 2)
+    chosen = chosen.unionByName(hash_sample(marked.where("toxic = 0"), ["doc_id"], max_labelled // 2))
     few = chosen.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id").dropDuplicates(["doc_id"])
     return [(t, int(x)) for t, x in few.where(F.char_length("text") <= max_chars).orderBy("doc_id").select("text", "toxic").collect()]
 

@@ -98,16 +98,17 @@ def answer_model(votes: DataFrame, iterations: int = 5, right: float = 4.0, wron
             missed = F.greatest(F.col(f"q_{k}") - own, F.lit(0.0))
             exprs += [F.sum(F.when(F.col("kind") == s, missed).otherwise(0.0)).alias(f"n_{k}_{s}") for s in KINDS]
         counts = cut(seen.groupBy("worker").agg(F.count("*").alias("answered"), *exprs))
-        prior = sums.agg(*[F.sum(F.when(F.col("class_kind") == k, F.col("q")).otherwise(0.0)).alias(f"c_{k}") for k in KINDS]).first()
-        mass = {k: float(prior[f"c_{k}"] or 0.0) + 1.0 for k in KINDS}  # Dirichlet prior of one per kind
+        # expectations of the class prior, Dirichlet with one per kind; up to a common constant
+        of_kind = {k: F.coalesce(F.sum(F.when(F.col("class_kind") == k, F.col("q"))), F.lit(0.0)) for k in KINDS}
+        prior = sums.agg(*[digamma(of_kind[k] + 1.0).alias(f"c_{k}") for k in KINDS])
         params = _log_params(counts, votes, right, wrong)
         held = sized_join(joined, params, ["worker"])
         spread = F.log(F.greatest(F.col("m") - 1, F.lit(1)))
         wrongs = {k: sum((F.when(F.col("kind") == s, F.col(f"l_{k}_{s}")).otherwise(0.0) for s in KINDS), F.lit(0.0)) - spread for k in KINDS}
         rights = sum((F.when(F.col("class_kind") == k, F.col(f"l_{k}_r") - wrongs[k]).otherwise(0.0) for k in KINDS), F.lit(0.0))
         scored = held.groupBy(*QUESTION, "answer").agg(F.first("class_kind").alias("class_kind"), F.sum(rights).alias("up"), *[F.sum(wrongs[k]).alias(f"b_{k}") for k in KINDS])
-        base = sum((F.when(F.col("class_kind") == k, F.sum(f"b_{k}").over(per) + digamma(F.lit(mass[k]))).otherwise(0.0) for k in KINDS), F.lit(0.0))
-        scored = scored.withColumn("s", F.col("up") + base)
+        base = sum((F.when(F.col("class_kind") == k, F.sum(f"b_{k}").over(per) + F.col(f"c_{k}")).otherwise(0.0) for k in KINDS), F.lit(0.0))
+        scored = scored.crossJoin(F.broadcast(prior)).withColumn("s", F.col("up") + base)  # the prior is one row
         soft = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(per)))
         soft = soft.withColumn("q", F.col("e") / F.sum("e").over(per)).select(*QUESTION, "answer", "q")
         posterior = cut(classes.join(soft, [*QUESTION, "answer"]))
