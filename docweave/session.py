@@ -68,3 +68,12 @@ def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     if total <= n:
         return df
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(1.1 * n / total * (1 << 30))).limit(n)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver drop the plans, broadcasts and shuffle files of steps that are over.
+
+    Spark's cleaner follows the driver's garbage collector, which may not run for long in
+    loops of many small steps.
+    """
+    spark.sparkContext._jvm.System.gc()
