@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docweave.session import cut, sized_join
+from docweave.session import cut, sized_join, tidy
 
 KINDS = ("yes_no", "unanswerable", "extractive", "free_form")
 QUESTION = ["paper_id", "question_id"]
@@ -64,54 +64,60 @@ def counted_votes(refs: DataFrame) -> DataFrame:
     return rows.groupBy(*QUESTION, "worker").agg(latest.alias("v")).select(*QUESTION, "worker", "v.*")
 
 
-def _log_params(counts: DataFrame | None, votes: DataFrame, right: float, wrong: float) -> DataFrame:
-    """Per annotator and kind of truth: E log of being right and of each wrong kind."""
-    if counts is None:
-        return None
-    cols = []
-    for k in KINDS:
-        alpha = {"r": F.col(f"n_{k}_r") + right, **{s: F.col(f"n_{k}_{s}") + wrong for s in KINDS}}
-        total = digamma(sum(alpha.values(), F.lit(0.0)))
-        cols += [(digamma(a) - total).alias(f"l_{k}_{o}") for o, a in alpha.items()]
-    return counts.select("worker", *cols)
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+
+
+def _log_params(counts: DataFrame, right: float, wrong: float) -> DataFrame:
+    """Per annotator the rows by kind of truth: E log of being right, then of each wrong kind."""
+    n = len(KINDS)
+
+    def row(k: Column) -> Column:
+        of = lambda s: F.coalesce(F.get(F.get(F.transform(F.filter("wrong", lambda x: x["kind"] == s), lambda x: x["w"]), F.lit(0)), k), F.lit(0.0))
+        return F.concat(F.array(F.get("right", k) + right), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: of(s) + wrong))
+
+    alphas = counts.select("worker", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), row).alias("alphas"))
+    return alphas.select("worker", F.transform("alphas", lambda a: F.transform(a, lambda x: digamma(x) - digamma(_total(a)))).alias("l"))
 
 
 def answer_model(votes: DataFrame, iterations: int = 5, right: float = 4.0, wrong: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(posterior per question and answer, expected counts per annotator).
 
     ``right`` and ``wrong`` are the Dirichlet priors of an annotator's rows. The first pass
-    starts from the shares of the votes.
+    starts from the shares of the votes. Kinds are numbers and rows arrays: the plans of the
+    loop stay small.
     """
-    classes = votes.groupBy(*QUESTION, "answer").agg(F.count("*").alias("votes"), F.min("kind").alias("class_kind"))
+    n = range(len(KINDS))
+    votes = votes.select(*QUESTION, "worker", "answer", (F.array_position(F.lit(list(KINDS)), F.col("kind")) - 1).cast("int").alias("kind"))
     per = W.partitionBy(*QUESTION)
+    classes = votes.groupBy(*QUESTION, "answer").agg(F.count("*").alias("votes"), F.min("kind").alias("class_kind"))
     classes = cut(classes.withColumn("n", F.sum("votes").over(per)).withColumn("m", F.count("*").over(per)))
-    joined = cut(votes.select(*QUESTION, "worker", "answer", "kind").join(classes.drop("votes", "n"), [*QUESTION, "answer"]))
+    joined = cut(votes.join(classes.drop("votes", "n"), [*QUESTION, "answer"]))
     posterior = classes.withColumn("q", F.col("votes") / F.col("n"))
+    of_kind = lambda k: F.when(F.col("class_kind") == k, F.col("q")).otherwise(0.0)
     counts = None
     for _ in range(iterations):
-        sums = posterior.select("*", *[F.sum(F.when(F.col("class_kind") == k, F.col("q")).otherwise(0.0)).over(per).alias(f"q_{k}") for k in KINDS])
-        seen = joined.join(sums.select(*QUESTION, "answer", "q", *[f"q_{k}" for k in KINDS]), [*QUESTION, "answer"])
-        exprs = []
-        for k in KINDS:
-            own = F.when(F.col("class_kind") == k, F.col("q")).otherwise(0.0)
-            exprs.append(F.sum(own).alias(f"n_{k}_r"))
-            missed = F.greatest(F.col(f"q_{k}") - own, F.lit(0.0))
-            exprs += [F.sum(F.when(F.col("kind") == s, missed).otherwise(0.0)).alias(f"n_{k}_{s}") for s in KINDS]
-        counts = cut(seen.groupBy("worker").agg(F.count("*").alias("answered"), *exprs))
+        sums = posterior.select(*QUESTION, "answer", "q", F.array(*[F.sum(of_kind(k)).over(per) for k in n]).alias("qk"))
+        seen = joined.join(sums, [*QUESTION, "answer"])
+        missed = [F.sum(F.greatest(F.get("qk", F.lit(k)) - of_kind(k), F.lit(0.0))) for k in n]
+        by_kind = seen.groupBy("worker", "kind").agg(F.count("*").alias("answered"), F.array(*[F.sum(of_kind(k)) for k in n]).alias("r"), F.array(*missed).alias("w"))
+        # at most one row per kind is gathered
+        gathered = by_kind.groupBy("worker").agg(F.sum("answered").alias("answered"), F.collect_list("r").alias("r"), F.collect_list(F.struct("kind", "w")).alias("wrong"))
+        added = F.aggregate("r", F.array(*[F.lit(0.0) for _ in n]), lambda x, y: F.zip_with(x, y, lambda a, b: a + b))
+        counts = cut(gathered.select("worker", "answered", added.alias("right"), "wrong"))
         # expectations of the class prior, Dirichlet with one per kind; up to a common constant
-        of_kind = {k: F.coalesce(F.sum(F.when(F.col("class_kind") == k, F.col("q"))), F.lit(0.0)) for k in KINDS}
-        prior = sums.agg(*[digamma(of_kind[k] + 1.0).alias(f"c_{k}") for k in KINDS])
-        params = _log_params(counts, votes, right, wrong)
-        held = sized_join(joined, params, ["worker"])
+        prior = posterior.agg(F.array(*[digamma(F.coalesce(F.sum(of_kind(k)), F.lit(0.0)) + 1.0) for k in n]).alias("c"))
+        held = sized_join(joined, _log_params(counts, right, wrong), ["worker"])
         spread = F.log(F.greatest(F.col("m") - 1, F.lit(1)))
-        wrongs = {k: sum((F.when(F.col("kind") == s, F.col(f"l_{k}_{s}")).otherwise(0.0) for s in KINDS), F.lit(0.0)) - spread for k in KINDS}
-        rights = sum((F.when(F.col("class_kind") == k, F.col(f"l_{k}_r") - wrongs[k]).otherwise(0.0) for k in KINDS), F.lit(0.0))
-        scored = held.groupBy(*QUESTION, "answer").agg(F.first("class_kind").alias("class_kind"), F.sum(rights).alias("up"), *[F.sum(wrongs[k]).alias(f"b_{k}") for k in KINDS])
-        base = sum((F.when(F.col("class_kind") == k, F.sum(f"b_{k}").over(per) + F.col(f"c_{k}")).otherwise(0.0) for k in KINDS), F.lit(0.0))
+        wrongs = lambda k: F.get(F.get("l", k), F.col("kind") + 1) - spread
+        up = F.get(F.get("l", F.col("class_kind")), F.lit(0)) - wrongs(F.col("class_kind"))
+        scored = held.groupBy(*QUESTION, "answer").agg(F.first("class_kind").alias("class_kind"), F.sum(up).alias("up"), *[F.sum(wrongs(F.lit(k))).alias(f"b{k}") for k in n])
+        base = F.get(F.array(*[F.sum(f"b{k}").over(per) for k in n]), F.col("class_kind")) + F.get("c", F.col("class_kind"))
         scored = scored.crossJoin(F.broadcast(prior)).withColumn("s", F.col("up") + base)  # the prior is one row
         soft = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(per)))
         soft = soft.withColumn("q", F.col("e") / F.sum("e").over(per)).select(*QUESTION, "answer", "q")
         posterior = cut(classes.join(soft, [*QUESTION, "answer"]))
+        tidy(votes.sparkSession)
     return posterior, counts
 
 
@@ -136,13 +142,14 @@ def evidence_model(votes: DataFrame, iterations: int = 4, prior: tuple[float, fl
         base = sized_join(votes.select(*QUESTION, "worker"), params, ["worker"]).groupBy(*QUESTION).agg(F.sum(F.col("n1") - F.col("n0")).alias("base"))
         up = sized_join(marks, params, ["worker"]).groupBy(*item).agg(F.sum(F.col("y1") - F.col("n1") - F.col("y0") + F.col("n0")).alias("up"))
         posterior = cut(items.join(up, item).join(base, QUESTION).withColumn("q", 1 / (1 + F.exp(-(F.col("up") + F.col("base"))))).drop("up", "base"))
+        tidy(votes.sparkSession)
     return posterior
 
 
 def reliability(counts: DataFrame, right: float = 4.0, wrong: float = 0.5) -> DataFrame:
     """Per annotator the posterior mean of giving the true answer and its 95 % interval."""
-    a = sum((F.col(f"n_{k}_r") for k in KINDS), F.lit(right))
-    b = sum((F.col(f"n_{k}_{s}") for k in KINDS for s in KINDS), F.lit(4 * wrong))
+    a = _total(F.col("right")) + right
+    b = F.aggregate("wrong", F.lit(0.0), lambda x, y: x + _total(y["w"])) + 4 * wrong
     mean = a / (a + b)
     half = 1.96 * F.sqrt(mean * (1 - mean) / (a + b + 1))
     return counts.select("worker", "answered", mean.alias("reliability"), F.greatest(mean - half, F.lit(0.0)).alias("low"), F.least(mean + half, F.lit(1.0)).alias("high"))
