@@ -1,7 +1,9 @@
 """Problem 8: evaluation texts leaking into training text, by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the words and three-word runs of the evaluation items, with
-document frequencies counted over the whole corpus. A randomised SVD of the items' matrix
+document frequencies counted over the whole corpus. Terms that stand mostly in copies of an
+item (``COPIED`` runs in its order) count only outside of these: however many copies an item
+has, they don't make its own words and runs common. A randomised SVD of the items' matrix
 (products computed on the executors, factors of bounded size on the driver) gives the
 latent space; every corpus window is projected into it and compared with all items by
 cosine. Candidates are checked by a longest common subsequence of the item and the
@@ -35,6 +37,8 @@ WINDOW, STRIDE = 48, 24
 #: Telling runs that a window needs; fewer in blocks of items under SHORT words.
 LEAST_RUNS = 8
 SHORT = 48
+#: Runs of one item in nearly its order that make a copy (a quarter of its words in items under 48), and the shift that counts as order.
+COPIED, SHIFT = 12, 8
 _HAN = re.compile("([㐀-鿿぀-ヿ])")
 _WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id bigint, item_id bigint, cosine double, coverage double"
@@ -66,7 +70,11 @@ class Block:
         self.v = len(self.word_id)
         self.names = list(self.word_id)
         runs = [self.run_codes(t) for t in self.tokens]
-        self.runs = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]))
+        # each run with its first place, so that items that share runs share its count of copies
+        self.runs, first = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]), return_index=True)
+        self.run_item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[first]
+        self.run_at = np.concatenate([*(np.arange(len(r)) for r in runs), np.zeros(0, np.int64)])[first]
+        self.copied_runs = np.array([min(COPIED, max(2, len(t) // 4)) for t in self.tokens], np.int64)
         self.n_terms = self.v + len(self.runs)
         self.weight = np.ones(self.n_terms)
         self.rare = np.zeros(self.v, bool)
@@ -98,6 +106,26 @@ class Block:
         order = np.argsort(pos, kind="stable")
         return pos[order], term[order]
 
+    def outside_copies(self, offsets: np.ndarray, pos: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which terms of texts stand in no cell where the text follows an item."""
+        is_run = np.flatnonzero(term >= self.v)
+        d, item, at = doc[is_run], self.run_item[term[is_run] - self.v], self.run_at[term[is_run] - self.v]
+        size = np.bincount(d * len(self.ids) + item, minlength=1)
+        enough = np.flatnonzero(size[d * len(self.ids) + item] >= self.copied_runs[item])
+        if not len(enough):
+            return np.ones(len(pos), bool)
+        d, item, at, p = d[enough], item[enough], at[enough], pos[is_run[enough]]
+        band = (p - offsets[d] - at) // SHIFT
+        low, width = int(band.min()), int(band.max() - band.min()) + 2
+        key = (item * len(offsets) + d) * width + band - low
+        bands, size = _pairs(key)
+        bands = bands[size >= self.copied_runs[bands // (len(offsets) * width)]]
+        member = np.isin(key, np.concatenate((bands, bands + 1)))
+        p, d = p[member], d[member]
+        cells = int((np.diff(offsets)).max()) // STRIDE + 2
+        copied = np.unique(np.concatenate([d * cells + (p + k - offsets[d]) // STRIDE for k in (0, 2)]))
+        return ~np.isin(doc * cells + (pos - offsets[doc]) // STRIDE, copied)
+
     def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, three unknown words after each; their offsets."""
         get = self.word_id.get
@@ -111,29 +139,47 @@ class Block:
         return np.array(flat, np.int64), np.array(offsets, np.int64)
 
 
+def _pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and how often each and its follower come."""
+    at, size = np.unique(key, return_counts=True)
+    both = size.copy()
+    both[:-1] += np.where(at[1:] == at[:-1] + 1, size[1:], 0)
+    return at, both
+
+
 def document_frequencies(documents: DataFrame, block: Block) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, over the whole corpus, and the number of documents."""
+    """Documents that hold each term, over the whole corpus, and the number of documents.
+
+    Of terms that most of their documents hold in copies only, the documents that hold them elsewhere.
+    """
     held = documents.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = held.value
         df, n = np.zeros(b.n_terms + 1, np.int64), 0
+        copies = np.zeros(b.n_terms + 1, np.int64)
         for batch in batches:
             column = batch.column(0).to_pylist()
             for k in range(0, len(column), 512):
                 t, offsets = b.numbered(column[k : k + 512])
                 pos, term = b.terms(t)
-                doc = np.searchsorted(offsets, pos, side="right")
-                df[:-1] += np.bincount(np.unique(doc * b.n_terms + term) % b.n_terms, minlength=b.n_terms)
+                doc = np.searchsorted(offsets, pos, side="right") - 1
+                key = doc * b.n_terms + term
+                df[:-1] += np.bincount(np.unique(key) % b.n_terms, minlength=b.n_terms)
+                outside = b.outside_copies(offsets, pos, doc, term)
+                some = np.zeros(len(offsets), bool)
+                some[doc[~outside]] = True
+                only = np.setdiff1d(key[~outside], key[outside & some[doc]])
+                copies[:-1] += np.bincount(only % b.n_terms, minlength=b.n_terms)
                 n += len(offsets) - 1
         df[-1] = n
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at]), pa.array(copies[at])], ["term", "df", "copies"])
 
-    counts = documents.select("text").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    counts = documents.select("text").mapInArrow(run, "term bigint, df bigint, copies bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("copies").alias("copies")).collect()
     out = np.zeros(block.n_terms + 1, np.int64)
-    for term, df in counts:
-        out[term] = df
+    for term, df, copies in counts:
+        out[term] = df - copies if 2 * copies > df else df
     held.unpersist()
     return out[:-1], int(out[-1])
 

@@ -106,6 +106,20 @@ def test_leakage(spark):
     assert leakage.leaks(df, ev.where("item_id = 99")).count() == 0
 
 
+def test_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(14)
+    items, words = passages(rng, 12)
+    items.append(items[0] + " " + " ".join(rng.choices(words, k=4)))  # entered twice
+    docs, want = [], set()
+    for d in range(360):
+        part = items[0].split() if d % 3 == 0 else items[d % 11 + 1].split() if d % 40 == 1 else []
+        part = [x if k % 7 else rng.choice(words) for k, x in enumerate(part)] if d % 2 else part
+        docs.append((d, " ".join([*rng.choices(words, k=rng.randint(20, 200)), *part, *rng.choices(words, k=30)])))
+        want |= {(d, 0), (d, 12)} if d % 3 == 0 else {(d, d % 11 + 1)} if d % 40 == 1 else set()
+    ev = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r[0], r[1]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), ev).collect()} == want
+
+
 def test_short_items(spark):
     rng = random.Random(13)
     items, words = passages(rng, 4)
