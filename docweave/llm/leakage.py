@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 BLOCK_ITEMS, BLOCK_TOKENS = 256, 60_000
 WINDOW, STRIDE = 48, 24
-#: Telling runs that a window needs; fewer in blocks of items under SHORT words.
-LEAST_RUNS = 8
+#: Telling runs of one item that a window needs; fewer for items under 24 words. Items under SHORT words have their own blocks.
+LEAST_RUNS = 4
 SHORT = 48
 #: Runs of one item in nearly its order that make a copy (a quarter of its words in items under 48), and the shift that counts as order.
 COPIED, SHIFT = 12, 8
@@ -66,7 +66,7 @@ class Block:
         self.ids = [i for i, _ in items]
         self.word_id: dict[str, int] = {}
         self.tokens = [np.array([self.word_id.setdefault(w, len(self.word_id)) for w in t], np.int64) for _, t in items]
-        self.least_runs = max(1, min(LEAST_RUNS, min((len(t) for t in self.tokens), default=SHORT) // 6))
+        self.least_runs = np.array([max(1, min(LEAST_RUNS, len(t) // 6)) for t in self.tokens], np.int64)
         self.v = len(self.word_id)
         self.names = list(self.word_id)
         runs = [self.run_codes(t) for t in self.tokens]
@@ -74,6 +74,10 @@ class Block:
         self.runs, first = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]), return_index=True)
         self.run_item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[first]
         self.run_at = np.concatenate([*(np.arange(len(r)) for r in runs), np.zeros(0, np.int64)])[first]
+        # the items of run k: holders[holders_from[k] : holders_from[k + 1]]
+        held = np.unique(np.concatenate([*(np.searchsorted(self.runs, r) * len(runs) + i for i, r in enumerate(runs)), np.zeros(0, np.int64)]))
+        self.holders = held % max(1, len(runs))
+        self.holders_from = np.searchsorted(held, np.arange(len(self.runs) + 1) * len(runs))
         self.copied_runs = np.array([min(COPIED, max(2, len(t) // 4)) for t in self.tokens], np.int64)
         self.n_terms = self.v + len(self.runs)
         self.weight = np.ones(self.n_terms)
@@ -300,21 +304,27 @@ def _search(batch_texts: list[str | None], b: Block, least_cosine: float, least_
     if not len(pos) or not len(b.runs):
         return []
     k = np.minimum(np.searchsorted(b.runs, code[pos]), len(b.runs) - 1)
-    pos = pos[(b.runs[k] == code[pos]) & b.telling[k]]
+    own = (b.runs[k] == code[pos]) & b.telling[k]
+    pos, k = pos[own], k[own]
     if not len(pos):
         return []
     doc = np.searchsorted(offsets, pos, side="right") - 1
-    cell = (pos - offsets[doc]) // STRIDE
-    key = doc * (int(cell.max()) + 2) + cell
-    cells_at, size = np.unique(key, return_counts=True)
-    first = np.searchsorted(key, cells_at)
-    # a window is a cell and its follower; no dense copy leaves less telling runs in all its windows
-    nxt = np.concatenate((cells_at[1:] == cells_at[:-1] + 1, [False]))
-    both = size + np.where(nxt, np.concatenate((size[1:], [0])), 0)
-    live = first[both >= b.least_runs]
+    width = int(np.diff(offsets).max()) // STRIDE + 2
+    key = doc * width + (pos - offsets[doc]) // STRIDE
+    # a window is a cell and its follower; too few runs of all items are too few of any
+    at, size = _pairs(key)
+    at = at[size >= b.least_runs.min()]
+    some = np.isin(key, np.concatenate((at, at + 1)))
+    key, k = key[some], k[some]
+    times = b.holders_from[k + 1] - b.holders_from[k]
+    item = b.holders[np.arange(times.sum()) + np.repeat(b.holders_from[k] - np.cumsum(times) + times, times)]
+    span = len(offsets) * width
+    at, size = _pairs(item * span + np.repeat(key, times))
+    live = np.unique(at[size >= b.least_runs[at // span]] % span)
+    doc, cell = live // width, live % width
     found: dict[tuple[int, int], list] = {}
     for s in range(0, len(live), 2048):
-        part = live[s : s + 2048]
+        part = range(s, min(s + 2048, len(live)))
         vec = np.zeros((len(part), b.latent.shape[1]), np.float32)
         norm = np.full(len(part), 1e-9)
         for r, h in enumerate(part):

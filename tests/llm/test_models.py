@@ -120,6 +120,27 @@ def test_item_in_a_third_of_the_documents(spark):
     assert {(r[0], r[1]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), ev).collect()} == want
 
 
+def test_altered_halves_and_scattered_sentences(spark):
+    rng = random.Random(15)
+    items, words = passages(rng, 11)
+    items = [" ".join(t.split()[:60]) for t in items]
+    docs, want = [], set()
+    for d in range(1200):
+        w = items[d % 11].split()
+        if d % 25 == 0:  # half of it with every fourth word altered
+            at = rng.randrange(31)
+            part = [x if k % 4 != d % 4 else "zz" for k, x in enumerate(w[at : at + 30])]
+        elif d % 25 == 1:  # its sentences of twelve words far from each other, one word altered in each
+            at = rng.randrange(3, 9)
+            part = [y for k in range(0, 60, 12) for y in [*w[k : k + at], "zz", *w[k + at + 1 : k + 12], *["yy"] * 50]]
+        else:
+            part = []
+        want |= {(d, d % 11)} if part else set()
+        docs.append((d, " ".join(["yy"] * rng.randrange(60) + part + rng.choices(words, k=rng.randint(150, 250)))))
+    ev = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r[0], r[1]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), ev).collect()} == want
+
+
 def test_short_items(spark):
     rng = random.Random(13)
     items, words = passages(rng, 4)
