@@ -130,6 +130,16 @@ def test_same_question(a, b, same):
     assert overlap.same_question(overlap.parse(a), overlap.parse(b)) is same
 
 
+def pairs_of(spark, *asked):
+    rows = [(2 * i + k, split, "s", (q,), "") for i, two in enumerate(asked) for k, (split, q) in enumerate(zip(("train", "dev"), two))]
+    return {(r["train_seq"], r["eval_seq"]) for r in overlap.record_pairs(spark.createDataFrame(rows, RECORDS)).collect()}
+
+
+def test_names_shown_on_one_side(spark):
+    asked = [("How does bert compare with GPT?", "How does BERT compare with GPT?"), ("Which tables does the Foo Parser read?", "Which tables does the Foo parser read?"), ("Why does elmo beat VelQA?", "Why does Elmo beat velqa?")]
+    assert pairs_of(spark, *asked) >= {(0, 1), (2, 3), (4, 5)}
+
+
 def test_fm_index():
     rng = random.Random(4)
     texts = [[rng.randint(1, 6) for _ in range(rng.randint(0, 9))] for _ in range(40)]
