@@ -140,6 +140,11 @@ def test_names_shown_on_one_side(spark):
     assert pairs_of(spark, *asked) >= {(0, 1), (2, 3), (4, 5)}
 
 
+def test_names_in_another_letter_case(spark):
+    asked = [("HOW DO THEY TURN TABLES INTO INPUT FOR CLOSTIPE?", "How do they turn tables into input for Clostipe?"), ("which parser of the velqa corpus beats hessulrus?", "Which parser of the VelQA Corpus beats Hessulrus?"), ("which parser does hessulrus beat on clostipe?", "Which parser does Clostipe beat on Hessulrus?")]
+    assert pairs_of(spark, *asked) == {(0, 1), (2, 3)}
+
+
 def test_fm_index():
     rng = random.Random(4)
     texts = [[rng.randint(1, 6) for _ in range(rng.randint(0, 9))] for _ in range(40)]
