@@ -145,6 +145,13 @@ def test_names_in_another_letter_case(spark):
     assert pairs_of(spark, *asked) == {(0, 1), (2, 3)}
 
 
+def test_long_question_with_a_frequent_name(spark):
+    rare = " ".join(f"{a}{b}ol" for a in "bdfgk" for b in ("ami", "emo", "iru", "osa", "uvo", "ylo"))
+    q = f"Which layers of Clostipe read {rare} well?"
+    usual = [(f"What does Clostipe do with {w}?",) * 2 for w in ("tables", "graphs", "labels", "notes")]
+    assert (0, 1) in pairs_of(spark, (q, q.lower()), *usual)
+
+
 def test_fm_index():
     rng = random.Random(4)
     texts = [[rng.randint(1, 6) for _ in range(rng.randint(0, 9))] for _ in range(40)]
