@@ -32,9 +32,9 @@ class TextGenerator(Protocol):
 
 
 class HashingEmbedder:
-    """Mean of signed word hashes, unit length; texts are cut after ``most`` words."""
+    """Mean of signed word hashes of the whole text, unit length; with ``most``, of so many first words."""
 
-    def __init__(self, dim: int = 64, most: int = 256):
+    def __init__(self, dim: int = 64, most: int | None = None):
         self.dim, self.most = dim, most
 
     def embed(self, texts: list[str]) -> np.ndarray:

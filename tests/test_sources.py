@@ -118,6 +118,14 @@ def test_append_is_once_per_key(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_long_texts_are_embedded_whole():
+    long = "same " * 256
+    a, b = plugins.HashingEmbedder().embed([long, long + "other words at the end"])
+    assert a.tolist() != b.tolist()
+    a, b = plugins.HashingEmbedder(most=256).embed([long, long + "other words at the end"])
+    assert a.tolist() == b.tolist()
+
+
 def test_plugins(spark):
     texts = spark.createDataFrame([("a b",), ("a b",), (None,), ("c",)], "text string")
     v = plugins.embed_texts(texts, plugins.HashingEmbedder(8)).collect()
