@@ -36,6 +36,14 @@ def p3_report(spark, d):
     return overlap.overlap_report(table(spark, d, "records"))
 
 
+def p3_class_pairs(spark, d):
+    return overlap.question_classes(table(spark, d, "records"))[0]
+
+
+def p3_members(spark, d):
+    return overlap.question_classes(table(spark, d, "records"))[1]
+
+
 def p4_found(spark, d):
     tasks = defects.task_pairs(table(spark, d, "evidence_tasks"))
     summaries = defects.summary_pairs(table(spark, d, "node_summaries"), table(spark, d, "nodes"))
@@ -93,7 +101,7 @@ def p9_rates(spark, d):
     return abuse.rates(*_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (
@@ -150,5 +158,8 @@ SELECT tbl, paper_id, node_id, CASE WHEN list_max(list_transform(regexp_split_to
 FROM (SELECT 'nodes' AS tbl, paper_id, node_id, text, 1200 AS top FROM nodes
       UNION ALL SELECT 'raw_records', paper_id, 0, raw_document_text, 16000 FROM raw_records)
 WHERE length(text) > top""",
+    "p3_members": """SELECT record_seq, side, min(record_seq) OVER (PARTITION BY side, question) AS representative FROM (
+        SELECT record_seq, query.question AS question, CASE WHEN lower(trim(split)) = 'train' THEN 'train' ELSE 'eval' END AS side
+        FROM records WHERE split IS NOT NULL AND query.question IS NOT NULL)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE {_WORDS} > 2048",
 }

@@ -4,6 +4,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,15 +159,46 @@ def test_fm_index():
     texts = [[rng.randint(1, 6) for _ in range(rng.randint(0, 9))] for _ in range(40)]
     index = overlap.FmIndex(texts)
     for _ in range(200):
-        q = [rng.randint(1, 7) for _ in range(rng.randint(1, 7))]
-        found = lambda s: {i for i, t in enumerate(texts) if any(t[k : k + len(s)] == s for k in range(len(t)))}
-        runs = [(a, b) for a in range(len(q)) for b in range(a + 1, len(q) + 1) if found(q[a:b])]
-        longest = [(a, b) for a, b in runs if not any((c <= a and d >= b) and (c, d) != (a, b) for c, d in runs)]
-        got = index.maximal_matches(q)
-        assert sorted((s, e) for s, e, *_ in got) == sorted(longest)
-        for s, e, lo, hi in got:
-            assert set(index.locate(lo, hi).tolist()) == found(q[s:e])
-    assert overlap.FmIndex([]).maximal_matches([1]) == []
+        q = [rng.randint(1, 7) for _ in range(rng.randint(1, 4))]
+        text, place = index.locate(*index.search(q))
+        got = sorted(zip(text.tolist(), place.tolist()))
+        assert got == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - len(q) + 1) if t[k : k + len(q)] == q]
+    assert overlap.FmIndex([]).search([1]) == (0, 0)
+
+
+def test_merged_spans():
+    assert overlap.merged_spans([1, 2, 3, 4], [1, 2, 9, 4], [(0, 0)]) == (3, 2)
+    assert overlap.merged_spans([1, 2, 3, 4], [3, 4, 1, 2], [(1, 3), (2, 0)]) == (4, 2)
+    assert overlap.merged_spans([5, 5, 1], [1, 5, 7], [(2, 0)]) == (2, 1)
+    assert overlap.merged_spans([1], [2], []) == (0, 0)
+
+
+def test_index_decides_the_candidates(monkeypatch):
+    q = "Which layer of KOR-7 is frozen while training on VelQA?"
+    route, fixed = overlap.parse(q)["route"], "which|0|6"
+    rows = pa.table({"question": [q], "route": [route], "key": ["\t".join([fixed, *sorted(route[:2])])]})
+    assert overlap._match(None, rows, rows).num_rows == 1
+    monkeypatch.setattr(overlap.FmIndex, "locate", lambda self, lo, hi: (np.zeros(0, int), np.zeros(0, int)))
+    assert overlap._match(None, rows, rows).num_rows == 0
+
+
+def test_hyphens_and_short_slips(spark):
+    asked = [("Does KOR-7 beat VelQA on Balmex-Wiki runs?", "Does KOR\u20107 beat VelQA on Balmex\u2010Wiki runs?"), ("How do they turn tables of KOR-7 into Vel input?", "How do tey turn tables of KOR-7 into Vel input?")]
+    assert pairs_of(spark, *asked) == {(0, 1), (2, 3)}
+
+
+def test_hot_question_in_blocks_and_classes(spark):
+    rows = [(i, "train" if i % 3 else "dev", "s", ("Does KOR-7 beat VelQA?" if i % 5 else f"Does KOR-7 beat Vel{i}?",), "") for i in range(200)]
+    df = spark.createDataFrame(rows, RECORDS)
+    got = {(r["eval_seq"], r["train_seq"]) for r in overlap.record_pairs(df, block=7).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "dev" and b[1] == "train" and a[3] == b[3]}
+    assert got == want
+    pairs, members = (x.collect() for x in overlap.question_classes(df))
+    of = defaultdict(set)
+    for r in members:
+        of[r["side"], r["representative"]].add(r["record_seq"])
+    assert {(a, b) for r in pairs for a in of["eval", r["eval_representative"]] for b in of["train", r["train_representative"]]} == want
+    assert len(members) == len(rows) and sum(r["eval_copies"] * r["train_copies"] for r in pairs) == len(want)
 
 
 def test_overlap_empty(spark):
