@@ -23,6 +23,10 @@ def p2_annotators(spark, d):
     return consensus.consensus(table(spark, d, "answer_refs"))["annotators"]
 
 
+def p2_disputed(spark, d):
+    return consensus.disputed(consensus.consensus(table(spark, d, "answer_refs")))
+
+
 def p2_agreement(spark, d):
     return consensus.agreement(consensus.counted_votes(table(spark, d, "answer_refs")))
 
@@ -101,7 +105,7 @@ def p9_rates(spark, d):
     return abuse.rates(*_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_disputed, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (

@@ -72,6 +72,48 @@ def test_consensus_findings(spark):
     assert q["r0", "x"] > 0.8 and abs(sum(v for (i, _), v in q.items() if i == "q1") - 1) < 1e-9
 
 
+def test_wide_and_packed_updates_agree(spark):
+    rng = random.Random(8)
+    rows = [(f"q{i}", "a", f"w{j}", rng.choice("xxxyz"), [x for x in range(4) if rng.random() < (0.8 if x < 2 else 0.1)] or None, j) for i in range(25) for j in range(rng.randint(1, 7))]
+    df = refs(spark, rows + [(None, "b", "w1", "x", [1], 1)])
+    packed, wide = consensus.consensus(df, max_iterations=2), consensus.consensus(df, max_annotators=2, max_iterations=2)
+    assert isinstance(consensus.fit(df, max_votes=3, max_iterations=0), consensus.WideConsensus) and isinstance(consensus.fit(df), consensus.Consensus)
+    keys = {"answers": ["question_id", "answer"], "evidence": ["question_id", "node"], "annotators": ["worker"], "judged": ["worker"]}
+    for name, key in keys.items():
+        x, y = ({tuple(r[k] for k in key): r.asDict() for r in m[name].collect()} for m in (packed, wide))
+        assert x.keys() == y.keys() and x
+        for k in x:
+            for c, v in x[k].items():
+                assert v == pytest.approx(y[k][c], abs=1e-9), (name, k, c)
+    assert {tuple(r) for r in consensus.findings(packed).collect()} == {tuple(r) for r in consensus.findings(wide).collect()}
+
+
+def test_consensus_parameters_by_brute_force(spark):
+    """One update of the answers by plain loops."""
+    rows = [("q1", "a", "u", "x", None, 1), ("q1", "a", "v", "x", None, 1), ("q1", "a", "w", "y", None, 1), ("q2", "a", "u", "z", None, 1), ("q2", "a", "w", "t", None, 1)]
+    made = consensus.consensus(refs(spark, rows), max_iterations=1)
+    share = {("q1", "x"): 2 / 3, ("q1", "y"): 1 / 3, ("q2", "z"): 0.5, ("q2", "t"): 0.5}
+    right = {"u": 2 / 3 + 0.5, "v": 2 / 3, "w": 1 / 3 + 0.5}
+    wrong = {"u": 1 / 3 + 0.5, "v": 1 / 3, "w": 2 / 3 + 0.5}
+    psi = lambda x: float(consensus._digamma(np.array(x)))
+    votes = {"q1": [("u", "x"), ("v", "x"), ("w", "y")], "q2": [("u", "z"), ("w", "t")]}
+    for r in made["answers"].collect():
+        s = {}
+        for answer in {a for _, a in votes[r["question_id"]]}:
+            s[answer] = sum(psi(right[w] + 4) if a == answer else psi(wrong[w] + 0.5) for w, a in votes[r["question_id"]])
+        z = sum(math.exp(v) for v in s.values())
+        assert r["q"] == pytest.approx(math.exp(s[r["answer"]]) / z, abs=1e-9)
+    assert share and {r["worker"] for r in made["annotators"].collect()} == {"u", "v", "w"}
+
+
+def test_disputed(spark):
+    rows = [(f"r{i}", "a", w, "x" if w not in ("b1", "b2") else f"y{i}{w}", [1], 1) for i in range(20) for w in ("u", "v", "t", "b1", "b2")]
+    rows += [("odd", "a", w, a, [1], 1) for w, a in (("u", "x"), ("b1", "z"), ("b2", "z"))]
+    made = consensus.consensus(refs(spark, rows))
+    assert {(r["subject"], r["found_value"]) for r in consensus.disputed(made).collect()} == {("p::odd", "x"), ("p::odd", "z")}
+    assert ("answer", "p::odd", "z") in {tuple(r) for r in consensus.findings(made).collect()}
+
+
 def test_consensus_empty(spark):
     made = consensus.consensus(refs(spark, []))
     assert consensus.findings(made).count() == 0 and made["annotators"].count() == 0
