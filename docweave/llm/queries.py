@@ -64,6 +64,11 @@ def p6_pieces(spark, d):
     return nodes.unionByName(raw)
 
 
+def p6_round_trip(spark, d):
+    made = splitting.reassembled(p6_pieces(spark, d))
+    return made.selectExpr("tbl", "paper_id", "node_id", "n_chars", "digest", "longest <= IF(tbl = 'nodes', 1200, 16000) AS within_limit")
+
+
 def p6_found(spark, d):
     return p6_pieces(spark, d).where("piece = 0").select("tbl", "paper_id", "node_id", "cut_class")
 
@@ -105,7 +110,7 @@ def p9_rates(spark, d):
     return abuse.rates(*_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_disputed, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_disputed, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p6_round_trip, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
 
 _TOP = """
 SELECT * FROM (
@@ -165,5 +170,8 @@ WHERE length(text) > top""",
     "p3_members": """SELECT record_seq, side, min(record_seq) OVER (PARTITION BY side, question) AS representative FROM (
         SELECT record_seq, query.question AS question, CASE WHEN lower(trim(split)) = 'train' THEN 'train' ELSE 'eval' END AS side
         FROM records WHERE split IS NOT NULL AND query.question IS NOT NULL)""",
+    "p6_round_trip": """SELECT *, true AS within_limit FROM (
+        SELECT 'nodes' AS tbl, paper_id, node_id, length(text) AS n_chars, md5(text) AS digest FROM nodes WHERE length(text) > 1200
+        UNION ALL SELECT 'raw_records', paper_id, 0, length(raw_document_text), md5(raw_document_text) FROM raw_records WHERE length(raw_document_text) > 16000)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE {_WORDS} > 2048",
 }

@@ -265,9 +265,25 @@ def test_split_round_trip():
                 continue
             assert "".join(t[a + o : b] for a, b, o, _ in pieces) == t
             assert all(0 < b - a <= LIMIT and 0 <= o <= overlap_size for a, b, o, _ in pieces)
+            if overlap_size:  # the stated overlap, but where a sentence leaves no room
+                for (c, *_), (a, b, o, _) in zip(pieces, pieces[1:]):
+                    room = min(overlap_size, LIMIT - (b - a - o), a + o - c - 1)
+                    assert room // 2 <= o <= room
             assert all(t[a : a + o] == t[c : d][-o:] for (c, d, *_), (a, _, o, _) in zip(pieces, pieces[1:]) if o)
 
 
+def test_tree_and_filling():
+    part = "Some words of a sentence here. " * 3
+    text = "".join(f"# Head {i}\n\n## Sub {i}\n\n{part}\n\n- entry one\n  - nested\n- entry two\n\n" for i in range(6))
+    tree = splitting._tree(text, 0, len(text), 60, 90)
+    assert [text[a : a + 8] for a, *_ in tree[3]] == [f"# Head {i}" for i in range(6)]
+    assert [text[a : a + 3] for a, *_ in tree[3][0][3]] == ["# H", "## "]
+    assert splitting._entries("- a\n  - b\n- c\n", 0, 14) == [(0, 10), (10, 14)]
+    long = "One two three four five. " * 200
+    pieces = splitting.split_text(long, LIMIT, 30)
+    assert sum(b - a for a, b, *_ in pieces) / len(pieces) / LIMIT > 0.8 and min(b - a for a, b, *_ in pieces) > LIMIT / 2
+
+
 def test_cut_class():
     assert splitting.cut_class("a" * 121, LIMIT) == "forced"
     assert splitting.cut_class("a" * 100 + ". " + "b" * 100, LIMIT) == "natural"
