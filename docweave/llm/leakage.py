@@ -1,30 +1,33 @@
 """Problem 8: evaluation texts leaking into training text, by latent semantic retrieval.
 
-Passages are TF-IDF vectors over the words and three-word runs of the evaluation items, with
+Passages are TF-IDF vectors over the words and word pairs of the evaluation items, with
 document frequencies counted over the whole corpus. Terms that stand mostly in copies of an
-item (``COPIED`` runs in its order) count only outside of these: however many copies an item
-has, they don't make its own words and runs common. A randomised SVD of the items' matrix
-(products computed on the executors, factors of bounded size on the driver) gives the
-latent space; every corpus window is projected into it and compared with all items by
-cosine. Candidates are checked by a longest common subsequence of the item and the
-candidate's stretch of the document, whose dense part must cover a connected half of the
-item, and by the item's rare words and numbers (its answers), which must be there too.
-
-Items are a stated query set: they are handled in blocks of at most ``BLOCK_ITEMS`` items
-and ``BLOCK_TOKENS`` words, so all that is broadcast is bounded, and all documents are
-read whole for each block. The latent space has as many dimensions as a block has items,
-so that no item is lost in it.
-
-Defined results: null, empty and wordless texts and items give no rows; equal items are
-each found; repeated documents are searched row by row and reported once per doc_id and
-item; other columns are ignored; an empty table on either side gives no rows.
+item (``COPIED`` pairs nearly in its order) count only outside of these: however many copies
+an item has, they don't make its own terms common. A randomised SVD of the items' matrix
+(products with its distributed rows on the executors; factors of bounded size are
+orthogonalised on the driver) gives a latent space of at most ``RANK`` dimensions; every
+corpus window is projected into it and compared with all items by cosine, the norm of the
+window being that of the whole vector, so that windows of other matter fall behind.
+Candidates are checked by a longest common subsequence of the item and the candidate's
+stretch of the document, whose dense part must cover a connected half of the item, and by
+the item's rare words and numbers (its answers), which must be there too.
+
+The corpus is read and divided into words once, for all items: documents become numbers of
+the items' words, written as binary chunks that both the count of frequencies and the search
+read. Items are a stated query set. Groups of at most ``GROUP_ITEMS`` items and
+``GROUP_TOKENS`` words share a pass; in it blocks of at most ``BLOCK_ITEMS`` items have a
+latent space each. So all that is broadcast is bounded.
+
+Defined results: null, empty and wordless texts and items and documents without id give no
+rows; equal items are each found; repeated documents are searched row by row and reported
+once per doc_id and item; other columns are ignored; an empty table on either side gives no
+rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,77 +35,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ITEMS, BLOCK_TOKENS = 256, 60_000
+from docweave.session import cut
+
+GROUP_ITEMS, GROUP_TOKENS, BLOCK_ITEMS = 4096, 1_000_000, 256
+RANK = 128
 WINDOW, STRIDE = 48, 24
-#: Telling runs of one item that a window needs; fewer for items under 24 words. Items under SHORT words have their own blocks.
-LEAST_RUNS = 4
-SHORT = 48
-#: Runs of one item in nearly its order that make a copy (a quarter of its words in items under 48), and the shift that counts as order.
-COPIED, SHIFT = 12, 8
+#: Pairs of one item in nearly its order that make a copy (a third of its words in items under 48), and the shift that counts as order.
+COPIED, SHIFT = 16, 8
+#: Documents without any term that every corpus counts as having besides, so that frequencies mean something in small ones too.
+PRIOR_DOCUMENTS = 1000
+#: Words of a chunk of documents.
+CHUNK = 400_000
 _HAN = re.compile("([㐀-鿿぀-ヿ])")
 _WORD = re.compile(r"[^\W_]+")
 FOUND = "doc_id bigint, item_id bigint, cosine double, coverage double"
 
 
-def words(text: str) -> list[str]:
-    """Lower case words without format characters and inner hyphens; Han and Kana signs are words each."""
+def _normal(text: str) -> str:
     if not text.isascii():
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
         text = _FORMAT.sub("", text)
         text = _HAN.sub(r" \1 ", text)
-    text = _HYPHEN.sub("", text)
-    return _WORD.findall(text.lower())
+    return text.lower()
+
+
+def words(text: str) -> list[str]:
+    """Lower case words without format characters and inner hyphens; Han and Kana signs are words each."""
+    return _WORD.findall(_HYPHEN.sub("", _normal(text)))
+
+
+def divided(text: str) -> dict[str, list[str]]:
+    """Words that a copy may write in parts: hyphenated ones, and letters with digits."""
+    out = {}
+    for m in _COMPOUND.finditer(_normal(text)):
+        parts = _PART.findall(m.group())
+        if len(parts) > 1:
+            out["".join(parts)] = parts
+    return out
 
 
 _FORMAT = re.compile("[­؜᠎​-‏‪-‮⁠-⁯﻿]")
+_COMPOUND = re.compile(r"[^\W_]+(?:[-‐‑–][^\W_]+)*")
+_PART = re.compile(r"[^\W\d_]+|\d+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑–](?:\n(?=[a-zà-ÿ])|(?=\w))")
 
 
-class Block:
-    """The items of one block: vocabulary, terms, and later weights and latent space."""
+class Items:
+    """The items of a group: vocabulary and terms, later weights and the latent spaces of its blocks."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], compounds: dict[str, list[str]] | None = None):
+        """``compounds``: words of the items to the parts they may be written in."""
         self.ids = [i for i, _ in items]
         self.word_id: dict[str, int] = {}
         self.tokens = [np.array([self.word_id.setdefault(w, len(self.word_id)) for w in t], np.int64) for _, t in items]
-        self.least_runs = np.array([max(1, min(LEAST_RUNS, len(t) // 6)) for t in self.tokens], np.int64)
+        self.own = len(self.word_id)  # the numbers after it are parts of words and neighbours written as one
+        number = lambda w: self.word_id.setdefault(w, len(self.word_id))
+        self.parts = {self.word_id[w]: np.array([number(x) for x in p], np.int64) for w, p in (compounds or {}).items() if w in self.word_id}
+        self.joined: dict[int, list[int]] = {}
+        for _, t in items:
+            for x, y in zip(t, t[1:]):
+                made = number(x + y)
+                for w in (x, y):
+                    if made not in (held := self.joined.setdefault(self.word_id[w], [])):
+                        held.append(made)
         self.v = len(self.word_id)
-        self.names = list(self.word_id)
         runs = [self.run_codes(t) for t in self.tokens]
-        # each run with its first place, so that items that share runs share its count of copies
+        # each pair with its first place, so that items that share pairs share its count of copies
         self.runs, first = np.unique(np.concatenate([*runs, np.zeros(0, np.int64)]), return_index=True)
         self.run_item = np.repeat(np.arange(len(runs)), [len(r) for r in runs])[first]
         self.run_at = np.concatenate([*(np.arange(len(r)) for r in runs), np.zeros(0, np.int64)])[first]
-        # the items of run k: holders[holders_from[k] : holders_from[k + 1]]
-        held = np.unique(np.concatenate([*(np.searchsorted(self.runs, r) * len(runs) + i for i, r in enumerate(runs)), np.zeros(0, np.int64)]))
-        self.holders = held % max(1, len(runs))
-        self.holders_from = np.searchsorted(held, np.arange(len(self.runs) + 1) * len(runs))
-        self.copied_runs = np.array([min(COPIED, max(2, len(t) // 4)) for t in self.tokens], np.int64)
+        self.copied_runs = np.array([min(COPIED, max(2, len(t) // 3)) for t in self.tokens], np.int64)
         self.n_terms = self.v + len(self.runs)
         self.weight = np.ones(self.n_terms)
         self.rare = np.zeros(self.v, bool)
-        self.telling = np.ones(len(self.runs), bool)
-        self.latent: np.ndarray | None = None
-        self.item_latent: np.ndarray | None = None
+        self.blocks: list[Block] = []
 
     def run_codes(self, t: np.ndarray) -> np.ndarray:
-        """Codes of the three-word runs; -1 where a word is unknown."""
-        if len(t) < 3:
+        """Codes of the word pairs; -1 where a word is unknown."""
+        if len(t) < 2:
             return np.zeros(0, np.int64)
-        a, b, c = t[:-2], t[1:-1], t[2:]
-        code = (a * self.v + b) * self.v + c
-        code[(a < 0) | (b < 0) | (c < 0)] = -1
+        a, b = t[:-1], t[1:]
+        code = a * self.v + b
+        code[(a < 0) | (b < 0)] = -1
         return code
 
     def terms(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, terms) of a sequence of word numbers, words and runs, by position."""
+        """(positions, terms) of a sequence of word numbers, words and pairs, by position."""
         at = np.flatnonzero(t >= 0)
         code = self.run_codes(t)
-        if len(self.runs) and len(code):
-            k = np.minimum(np.searchsorted(self.runs, code), len(self.runs) - 1)
-            run_at = np.flatnonzero(self.runs[k] == code)
-            run_terms = self.v + k[run_at]
+        known = np.flatnonzero(code >= 0)
+        if len(self.runs) and len(known):
+            k = np.minimum(np.searchsorted(self.runs, code[known]), len(self.runs) - 1)
+            own = self.runs[k] == code[known]
+            run_at, run_terms = known[own], self.v + k[own]
         else:
             run_at = run_terms = np.zeros(0, np.int64)
         pos = np.concatenate((at, run_at))
@@ -110,6 +136,15 @@ class Block:
         order = np.argsort(pos, kind="stable")
         return pos[order], term[order]
 
+    def holds(self, text: np.ndarray, word: int) -> bool:
+        """Whether a text has a word, its parts side by side, or the word joined to a neighbour of it."""
+        if (text == word).any():
+            return True
+        if (p := self.parts.get(word)) is not None and len(text) >= len(p):
+            if (np.lib.stride_tricks.sliding_window_view(text, len(p)) == p).all(1).any():
+                return True
+        return bool(np.isin(text, self.joined.get(word, [])).any())
+
     def outside_copies(self, offsets: np.ndarray, pos: np.ndarray, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Which terms of texts stand in no cell where the text follows an item."""
         is_run = np.flatnonzero(term >= self.v)
@@ -130,17 +165,15 @@ class Block:
         copied = np.unique(np.concatenate([d * cells + (p + k - offsets[d]) // STRIDE for k in (0, 2)]))
         return ~np.isin(doc * cells + (pos - offsets[doc]) // STRIDE, copied)
 
-    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row, three unknown words after each; their offsets."""
-        get = self.word_id.get
-        flat: list[int] = []
-        offsets = [0]
-        for text in texts:
-            if text:
-                flat.extend([get(w, -1) for w in words(text)])
-            flat.extend((-1, -1, -1))
-            offsets.append(len(flat))
-        return np.array(flat, np.int64), np.array(offsets, np.int64)
+
+class Block:
+    """Some items of a group with their latent space."""
+
+    def __init__(self, items: range, terms: np.ndarray):
+        self.items = items
+        self.terms = terms
+        self.latent = np.zeros((len(terms), 0), np.float32)
+        self.item_latent = np.zeros((len(items), 0), np.float32)
 
 
 def _pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,98 +184,158 @@ def _pairs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, both
 
 
-def document_frequencies(documents: DataFrame, block: Block) -> tuple[np.ndarray, int]:
+NUMBERED = "ids binary, offsets binary, tokens binary"
+
+
+def numbered(documents: DataFrame, word_id: dict[str, int]) -> DataFrame:
+    """Documents as numbers of the items' words, in chunks: ids, where each begins, numbers.
+
+    Words of no item are -1, and two of them follow each document.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(word_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = held.value.get
+        ids: list[int] = []
+        flat: list[int] = []
+        offsets = [0]
+
+        def chunk() -> pa.RecordBatch:
+            parts = (np.array(ids, np.int64), np.array(offsets, np.int64), np.array(flat, np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["ids", "offsets", "tokens"])
+
+        for batch in batches:
+            for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(i)
+                flat.extend([get(w, -1) for w in words(text)])
+                flat.extend((-1, -1))
+                offsets.append(len(flat))
+                if len(flat) > CHUNK:
+                    yield chunk()
+                    ids.clear()
+                    flat.clear()
+                    offsets[:] = [0]
+        if ids:
+            yield chunk()
+
+    return documents.mapInArrow(run, NUMBERED)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i, o, t in zip(*(c.to_pylist() for c in batch.columns)):
+            yield np.frombuffer(i, np.int64), np.frombuffer(o, np.int64), np.frombuffer(t, np.int32).astype(np.int64)
+
+
+def document_frequencies(numbers: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """Documents that hold each term, over the whole corpus, and the number of documents.
 
     Of terms that most of their documents hold in copies only, the documents that hold them elsewhere.
     """
-    held = documents.sparkSession.sparkContext.broadcast(block)
+    held = numbers.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = held.value
-        df, n = np.zeros(b.n_terms + 1, np.int64), 0
-        copies = np.zeros(b.n_terms + 1, np.int64)
-        for batch in batches:
-            column = batch.column(0).to_pylist()
-            for k in range(0, len(column), 512):
-                t, offsets = b.numbered(column[k : k + 512])
-                pos, term = b.terms(t)
-                doc = np.searchsorted(offsets, pos, side="right") - 1
-                key = doc * b.n_terms + term
-                df[:-1] += np.bincount(np.unique(key) % b.n_terms, minlength=b.n_terms)
-                outside = b.outside_copies(offsets, pos, doc, term)
-                some = np.zeros(len(offsets), bool)
-                some[doc[~outside]] = True
-                only = np.setdiff1d(key[~outside], key[outside & some[doc]])
-                copies[:-1] += np.bincount(only % b.n_terms, minlength=b.n_terms)
-                n += len(offsets) - 1
+        df, copies, n = np.zeros(b.n_terms + 1, np.int64), np.zeros(b.n_terms + 1, np.int64), 0
+        for ids, offsets, t in _chunks(batches):
+            pos, term = b.terms(t)
+            doc = np.searchsorted(offsets, pos, side="right") - 1
+            key = doc * b.n_terms + term
+            df[:-1] += np.bincount(np.unique(key) % b.n_terms, minlength=b.n_terms)
+            outside = b.outside_copies(offsets, pos, doc, term)
+            some = np.zeros(len(offsets), bool)
+            some[doc[~outside]] = True
+            only = np.setdiff1d(key[~outside], key[outside & some[doc]])
+            copies[:-1] += np.bincount(only % b.n_terms, minlength=b.n_terms)
+            n += len(ids)
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at]), pa.array(copies[at])], ["term", "df", "copies"])
 
-    counts = documents.select("text").mapInArrow(run, "term bigint, df bigint, copies bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("copies").alias("copies")).collect()
-    out = np.zeros(block.n_terms + 1, np.int64)
+    counts = numbers.mapInArrow(run, "term bigint, df bigint, copies bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("copies").alias("copies")).collect()
+    out = np.zeros(items.n_terms + 1, np.int64)
     for term, df, copies in counts:
         out[term] = df - copies if 2 * copies > df else df
     held.unpersist()
     return out[:-1], int(out[-1])
 
 
-def weigh(block: Block, df: np.ndarray, n: int, common: float = 0.1, rare: float = 0.003, telling: float = 0.01) -> None:
-    """IDF weights, none for terms in more than ``common`` of the documents; rare words, telling runs."""
-    n = max(n, 1)
-    block.weight = np.maximum(0.0, np.log((n + 1) / (df + 1)) - np.log(1 / common)) if n >= 1 / common else np.ones(len(df))
-    block.rare = df[: block.v] <= max(rare * n, 25)
-    block.telling = df[block.v :] <= max(telling * n, 25)
+def weigh(items: Items, df: np.ndarray, n: int, common: float = 0.03, rare: float = 0.003) -> None:
+    """IDF weights, none for terms in more than ``common`` of the documents; rare words."""
+    share = (df + 1) / (n + PRIOR_DOCUMENTS)
+    items.weight = np.maximum(0.0, np.log(common / share))
+    items.weight[items.own : items.v] = 0.0
+    items.rare = share[: items.v] <= rare
 
 
-def _vector(block: Block, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of weight and their damped TF-IDF."""
-    term, tf = np.unique(block.terms(t)[1], return_counts=True)
-    w = np.sqrt(tf) * block.weight[term]
-    return term[w > 0], w[w > 0]
+def _rows(items: Items, part: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit TF-IDF vectors of some items: terms of weight and values."""
+    out = []
+    for i in part:
+        term, tf = np.unique(items.terms(items.tokens[i])[1], return_counts=True)
+        w = np.sqrt(tf) * items.weight[term]
+        out.append((term[w > 0], w[w > 0] / max(float(np.sqrt((w**2).sum())), 1e-12)))
+    return out
 
 
-def randomised_svd(spark, block: Block, seed: int = 5, power: int = 1) -> None:
-    """The latent space of the block's items by random projection and power iteration.
+def randomised_svd(spark, items: Items, rank: int = RANK, seed: int = 5, power: int = 2) -> None:
+    """The latent spaces of a group's blocks by random projection and power iteration.
 
-    Y = A Omega and A'Q are computed on executors from slices of the rows; the factors held
-    by the driver have (items x items) and (terms x items) entries, bounded by the block.
+    The rows of all blocks are one table, spread over tasks; A times a matrix and its
+    transpose times a matrix are computed there. The driver orthogonalises factors of (items
+    x rank) and (rank x rank) entries; latent vectors have (terms x rank), bounded by a block.
     """
-    rows = [_vector(block, t) for t in block.tokens]
-    norm = [max(float(np.sqrt((w**2).sum())), 1e-12) for _, w in rows]
-    rows = [(t, w / x) for (t, w), x in zip(rows, norm)]
-    n, d = len(rows), block.n_terms
-    parts = [range(i, n, 4) for i in range(min(4, n))]
-    sc = spark.sparkContext
-
-    def product(right: np.ndarray) -> np.ndarray:
-        """A times a (terms x k) matrix."""
-        held = sc.broadcast(right.astype(np.float32))
-        made = np.zeros((n, right.shape[1]))
-        for i, v in sc.parallelize([(list(p), [rows[i] for i in p]) for p in parts], len(parts)).flatMap(lambda x: [(i, w @ held.value[t]) for i, (t, w) in zip(*x)]).collect():
-            made[i] = v
+    rng, table = np.random.default_rng(seed), []
+    items.blocks = []
+    for k, start in enumerate(range(0, len(items.tokens), BLOCK_ITEMS)):
+        part = range(start, min(start + BLOCK_ITEMS, len(items.tokens)))
+        rows = _rows(items, part)
+        terms = np.unique(np.concatenate([t for t, _ in rows]))
+        items.blocks.append(Block(part, terms))
+        table += [(k, i, np.searchsorted(terms, t).tolist(), w.tolist()) for i, (t, w) in enumerate(rows)]
+    rows = cut(spark.createDataFrame(table, "block int, item int, terms array<int>, weights array<double>").repartition(4, "item"))
+    sizes = [(len(b.items), len(b.terms)) for b in items.blocks]
+    width = [min(n, rank) for n, _ in sizes]
+
+    def times(factors: list[np.ndarray], transposed: bool) -> list[np.ndarray]:
+        held = spark.sparkContext.broadcast([x.astype(np.float32) for x in factors])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, i, t, w in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = made.setdefault(k, np.zeros((sizes[k][1 if transposed else 0], width[k])))
+                    if transposed:
+                        own[t] += np.array(w)[:, None] * held.value[k][i]
+                    else:
+                        own[i] += np.array(w) @ held.value[k][t]
+            for k, x in made.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
+
+        out = [np.zeros((n[1 if transposed else 0], w)) for n, w in zip(sizes, width)]
+        for k, part in rows.mapInArrow(run, "block int, part binary").toLocalIterator():
+            out[k] += np.frombuffer(part, np.float32).reshape(out[k].shape)
         held.unpersist()
-        return made
-
-    def transposed(left: np.ndarray) -> np.ndarray:
-        """A' times an (items x k) matrix; linear in the entries of A."""
-        made = np.zeros((d, left.shape[1]))
-        for (t, w), v in zip(rows, left):
-            made[t] += w[:, None] * v
-        return made
-
-    k = n
-    omega = np.random.default_rng(seed).standard_normal((d, k)).astype(np.float32)
-    y = product(omega)
+        return out
+
+    q = [np.linalg.qr(y)[0] for y in times([rng.standard_normal((d, w)) for (_, d), w in zip(sizes, width)], False)]
     for _ in range(power):
-        y = product(transposed(np.linalg.qr(y)[0]))
-    q = np.linalg.qr(y)[0]
-    b = transposed(q)  # terms x k
-    values, u = np.linalg.eigh(b.T @ b)
-    keep = values > 1e-9 * max(values.max(), 1e-12)
-    block.latent = ((b @ u[:, keep]) / np.sqrt(values[keep])).astype(np.float32)
-    block.item_latent = np.stack([w @ block.latent[t] for t, w in rows]).astype(np.float32)
+        q = [np.linalg.qr(y)[0] for y in times(times(q, True), False)]
+    for block, b in zip(items.blocks, times(q, True)):  # b: terms x rank
+        values, u = np.linalg.eigh(b.T @ b)
+        keep = values > 1e-9 * max(values.max(initial=0.0), 1e-12)
+        block.latent = ((b @ u[:, keep]) / np.sqrt(values[keep])).astype(np.float32)
+    for block, x in zip(items.blocks, _projected(items)):
+        block.item_latent = x
+
+
+def _projected(items: Items) -> Iterator[np.ndarray]:
+    """Latent vectors of the items, of length one."""
+    for block in items.blocks:
+        made = np.zeros((len(block.items), block.latent.shape[1]), np.float32)
+        for i, (t, w) in enumerate(_rows(items, block.items)):
+            made[i] = w @ block.latent[np.searchsorted(block.terms, t)]
+        yield made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
 
 
 def lcs_positions(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
@@ -264,7 +357,7 @@ def lcs_positions(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def dense_spans(pairs: list[tuple[int, int]], gap: int = 4, least: int = 8, density: float = 0.7) -> list[tuple[int, int, int]]:
+def dense_spans(pairs: list[tuple[int, int]], gap: int = 4, least: int = 8, density: float = 0.6) -> list[tuple[int, int, int]]:
     """Stretches of the item (start, end, matched) that the common subsequence covers densely.
 
     A stretch ends where more than ``gap`` words of either side lie between two matches;
@@ -296,53 +389,64 @@ def coverage(covered: np.ndarray, gap: int = 12) -> float:
     return best / n
 
 
-def _search(batch_texts: list[str | None], b: Block, least_cosine: float, least_cover: float) -> list[tuple[int, int, float, float]]:
-    """(row, item, cosine, coverage) of the texts that hold items."""
-    t, offsets = b.numbered(batch_texts)
-    code = b.run_codes(t)
-    pos = np.flatnonzero(code >= 0)
-    if not len(pos) or not len(b.runs):
-        return []
-    k = np.minimum(np.searchsorted(b.runs, code[pos]), len(b.runs) - 1)
-    own = (b.runs[k] == code[pos]) & b.telling[k]
-    pos, k = pos[own], k[own]
+def _candidates(b: Items, offsets: np.ndarray, t: np.ndarray, least_cosine: float) -> dict[tuple[int, int], list]:
+    """(document, item) to the best cosine and the windows, over all windows of a chunk."""
+    pos, term = b.terms(t)
+    live = b.weight[term] > 0
+    pos, term = pos[live], term[live]
+    found: dict[tuple[int, int], list] = {}
     if not len(pos):
-        return []
+        return found
     doc = np.searchsorted(offsets, pos, side="right") - 1
     width = int(np.diff(offsets).max()) // STRIDE + 2
     key = doc * width + (pos - offsets[doc]) // STRIDE
-    # a window is a cell and its follower; too few runs of all items are too few of any
-    at, size = _pairs(key)
-    at = at[size >= b.least_runs.min()]
-    some = np.isin(key, np.concatenate((at, at + 1)))
-    key, k = key[some], k[some]
-    times = b.holders_from[k + 1] - b.holders_from[k]
-    item = b.holders[np.arange(times.sum()) + np.repeat(b.holders_from[k] - np.cumsum(times) + times, times)]
-    span = len(offsets) * width
-    at, size = _pairs(item * span + np.repeat(key, times))
-    live = np.unique(at[size >= b.least_runs[at // span]] % span)
-    doc, cell = live // width, live % width
-    found: dict[tuple[int, int], list] = {}
-    for s in range(0, len(live), 2048):
-        part = range(s, min(s + 2048, len(live)))
-        vec = np.zeros((len(part), b.latent.shape[1]), np.float32)
-        norm = np.full(len(part), 1e-9)
-        for r, h in enumerate(part):
-            lo = offsets[doc[h]] + cell[h] * STRIDE
-            tt, w = _vector(b, t[lo : min(lo + WINDOW, offsets[doc[h] + 1])])
-            if len(tt):
-                norm[r] = np.sqrt((w**2).sum())
-                vec[r] = w @ b.latent[tt]
-        cos = vec @ b.item_latent.T / norm[:, None]
-        for r, item in zip(*np.nonzero(cos >= least_cosine)):
-            h = part[r]
-            x = found.setdefault((int(doc[h]), int(item)), [0.0, []])
-            x[0] = max(x[0], float(cos[r, item]))
-            x[1].append(int(cell[h]))
+    weight = b.weight[term]
+    for block in b.blocks:
+        k = np.minimum(np.searchsorted(block.terms, term), len(block.terms) - 1) if len(block.terms) else np.zeros(0, np.int64)
+        own = np.flatnonzero(block.terms[k] == term) if len(k) else k
+        if not len(own):
+            continue
+        cells, first = np.unique(key[own], return_index=True)
+        first = np.append(first, len(own))
+        # the norm has all terms of the group, so it is counted over the same cells
+        at = np.searchsorted(cells, key)
+        at[at == len(cells)] = 0
+        inside = cells[at] == key
+        energy = np.bincount(at[inside], weight[inside] ** 2, len(cells))
+        latent = np.empty((len(cells), block.latent.shape[1]), np.float32)
+        scaled = block.latent
+        step = 4096
+        for c in range(0, len(cells), step):
+            e = min(c + step, len(cells))
+            part = own[first[c] : first[e]]
+            latent[c:e] = np.add.reduceat(scaled[k[part]] * weight[part, None].astype(np.float32), first[c:e] - first[c], axis=0)
+        # a window is a cell and its follower
+        follows = np.flatnonzero(cells[1:] == cells[:-1] + 1)
+        both, norm = latent, energy
+        if len(follows):
+            both, norm = latent.copy(), energy.copy()
+            both[follows] += latent[follows + 1]
+            norm[follows] += energy[follows + 1]
+        norm = np.sqrt(norm)
+        # no cosine is larger than the window's share in the space
+        near = np.flatnonzero(np.linalg.norm(both, axis=1) >= least_cosine * norm)
+        for s in range(0, len(near), 8192):
+            part = near[s : s + 8192]
+            cosine = both[part] @ block.item_latent.T / norm[part, None]
+            for r, i in zip(*np.nonzero(cosine >= least_cosine)):
+                cell = int(cells[part[r]])
+                x = found.setdefault((cell // width, block.items[i]), [0.0, []])
+                x[0] = max(x[0], float(cosine[r, i]))
+                x[1].append(cell % width)
+    return found
+
+
+def _search(ids: np.ndarray, offsets: np.ndarray, t: np.ndarray, b: Items, least_cosine: float, least_cover: float) -> list[tuple[int, int, float, float]]:
+    """(document, item, cosine, coverage) of the documents that hold items."""
     out = []
-    for (row, item), (cos, cells) in found.items():
+    for (row, item), (cos, cells) in _candidates(b, offsets, t, least_cosine).items():
         own = b.tokens[item]
-        text = t[offsets[row] : offsets[row + 1] - 3]
+        text = t[offsets[row] : offsets[row + 1] - 2]
         covered = np.zeros(len(own), bool)
         spans: list[list[int]] = []
         for c in sorted(set(cells)):
@@ -351,9 +455,12 @@ def _search(batch_texts: list[str | None], b: Block, least_cosine: float, least_
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
+        pairs = np.unique(b.run_codes(own))
         for lo, hi in spans:
             for at in range(lo, hi, 1500):
                 piece = text[at : min(hi, at + 2000)]
+                if np.isin(b.run_codes(piece), pairs).sum() < 0.08 * len(own):
+                    continue  # a covered half with every third word altered has a sixth
                 rest = own
                 while found_spans := dense_spans(lcs_positions(rest, piece), least=max(2, min(8, len(own) // 3))):
                     for a, e, _ in found_spans:  # parts in another order are found by what is left
@@ -362,55 +469,49 @@ def _search(batch_texts: list[str | None], b: Block, least_cosine: float, least_
         cover = coverage(covered)
         if cover < least_cover:
             continue
-        answers = {b.names[w] for w in own[covered] if b.rare[w]}
-        if answers:  # looked for without spaces: names may be joined or divided in the copy
-            whole = "".join(words(batch_texts[row]))
-            if sum(w in whole for w in answers) < 0.4 * len(answers):
-                continue
-        out.append((row, item, cos, cover))
+        answers = np.unique(own[covered & b.rare[own]])
+        if len(answers) and sum(b.holds(text, w) for w in answers.tolist()) < 0.4 * len(answers):
+            continue
+        out.append((int(ids[row]), b.ids[item], cos, cover))
     return out
 
 
-def item_blocks(items: DataFrame) -> Iterator[Block]:
-    """Blocks of the items, in order of their ids; short items have their own."""
-    open_: dict[bool, list[tuple[int, list[str]]]] = {False: [], True: []}
-    size = {False: 0, True: 0}
+def item_groups(items: DataFrame) -> Iterator[Items]:
+    """Groups of the items, in order of their ids."""
+    open_: list[tuple[int, list[str]]] = []
+    compounds: dict[str, list[str]] = {}
+    size = 0
     for row in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         w = words(row["text"])
         if not w:
             continue
-        kind = len(w) < SHORT
-        if open_[kind] and (len(open_[kind]) >= BLOCK_ITEMS or size[kind] + len(w) > BLOCK_TOKENS):
-            yield Block(open_[kind])
-            open_[kind], size[kind] = [], 0
-        open_[kind].append((row["item_id"], w))
-        size[kind] += len(w)
-    for block in open_.values():
-        if block:
-            yield Block(block)
-
-
-def leaks(documents: DataFrame, items: DataFrame, least_cosine: float = 0.25, least_cover: float = 0.45) -> DataFrame:
+        if open_ and (len(open_) >= GROUP_ITEMS or size + len(w) > GROUP_TOKENS):
+            yield Items(open_, compounds)
+            open_, compounds, size = [], {}, 0
+        compounds |= divided(row["text"])
+        open_.append((row["item_id"], w))
+        size += len(w)
+    if open_:
+        yield Items(open_, compounds)
+
+
+def leaks(documents: DataFrame, items: DataFrame, least_cosine: float = 0.15, least_cover: float = 0.45, rank: int = RANK) -> DataFrame:
     """Documents and the items they hold, with the best cosine and the covered share."""
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
     made = None
-    for block in item_blocks(items):
-        weigh(block, *document_frequencies(texts, block))
-        randomised_svd(spark, block)
-        held = spark.sparkContext.broadcast(block)
+    for group in item_groups(items):
+        numbers = cut(numbered(texts, group.word_id))
+        weigh(group, *document_frequencies(numbers, group))
+        randomised_svd(spark, group, rank)
+        held = spark.sparkContext.broadcast(group)  # bounded by GROUP_ITEMS and GROUP_TOKENS
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            b = held.value
-            for batch in batches:
-                ids, column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = []
-                for k in range(0, len(column), 256):
-                    rows += [(ids[k + r], b.ids[i], c, v) for r, i, c, v in _search(column[k : k + 256], b, least_cosine, least_cover)]
-                if rows:
+            for ids, offsets, t in _chunks(batches):
+                if rows := _search(ids, offsets, t, held.value, least_cosine, least_cover):
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "coverage"])
 
-        part = texts.mapInArrow(run, FOUND)
+        part = numbers.mapInArrow(run, FOUND)
         made = part if made is None else made.unionByName(part)
     if made is None:
         return spark.createDataFrame([], FOUND)

@@ -150,16 +150,45 @@ def test_short_items(spark):
     assert {(r[0], r[1]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), ev).collect()} == {(i, i) for i in range(4)}
 
 
-def test_latent_space_keeps_all_items(spark):
+def test_names_in_parts():
+    text = "Kor-Net and Vel 85 read Tay7."
+    items = leakage.Items([(1, leakage.words(text))], leakage.divided(text))
+    number = lambda t: np.array([items.word_id.get(w, -1) for w in leakage.words(t)])
+    for t, w, held in (("the kor net", "kornet", True), ("kor the net", "kornet", False), ("vel85 reads", "vel", True), ("tay 7", "tay7", True), ("tay", "tay7", False), ("kornet", "kornet", True)):
+        assert items.holds(number(t), items.word_id[w]) is held
+
+
+def test_latent_space(spark):
     rng = random.Random(9)
-    items, _ = passages(rng, 20)
-    block = leakage.Block([(i, leakage.words(t)) for i, t in enumerate(items)])
-    leakage.randomised_svd(spark, block)
-    a = np.zeros((20, block.n_terms))
-    for i, t in enumerate(block.tokens):
-        k, w = leakage._vector(block, t)
-        a[i, k] = w / np.sqrt((w**2).sum())
+    texts, _ = passages(rng, 20)
+    items = leakage.Items([(i, leakage.words(t)) for i, t in enumerate(texts)])
+    a = np.zeros((20, items.n_terms))
+    for i, (t, w) in enumerate(leakage._rows(items, range(20))):
+        a[i, t] = w
+    leakage.randomised_svd(spark, items, rank=20)
+    block = items.blocks[0]
     assert np.allclose(block.item_latent @ block.item_latent.T, a @ a.T, atol=1e-3)
+    leakage.randomised_svd(spark, items, rank=10)  # the space of the largest singular values
+    block = items.blocks[0]
+    held = np.linalg.norm(a[:, block.terms] @ block.latent)
+    assert block.latent.shape[1] == 10 and held >= 0.97 * np.sqrt((np.linalg.svd(a)[1][:10] ** 2).sum())
+
+
+def test_paraphrases_and_blocks(spark, monkeypatch):
+    """Every third word replaced; a space of fewer dimensions than items; several blocks."""
+    rng = random.Random(16)
+    items, words = passages(rng, 60)
+    docs = []
+    for d in range(240):
+        part = [x if k % 3 != d % 3 else rng.choice(words) for k, x in enumerate(items[d % 60].split())] if d % 2 else []
+        docs.append((d, " ".join([*rng.choices(words, k=rng.randint(20, 200)), *part, *rng.choices(words, k=30)])))
+    ev = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(d, d % 60) for d in range(1, 240, 2)}
+    for size, rank in ((256, 40), (25, 16)):
+        monkeypatch.setattr(leakage, "BLOCK_ITEMS", size)
+        got = {(r[0], r[1]) for r in leakage.leaks(df, ev, rank=rank).collect()}
+        assert not got - want and len(got) >= 0.97 * len(want)
 
 
 def test_lcs():
