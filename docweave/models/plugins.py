@@ -97,7 +97,7 @@ _MARKUP = re.compile(r"^\s*(?:[-*]|[0-9]+[.)])\s*")
 
 def parse_label(output: str) -> str | None:
     """The link label an output names, as the Column expression of the same name does."""
-    t = " ".join(_MARKUP.sub("", (output or "").strip()).split()).upper().replace("-", "_").strip(".,:;`'\"[](){} ")
+    t = " ".join(_MARKUP.sub("", (output or "").strip()).split()).upper().replace("-", "_").strip(".,:;`'\"[](){}")
     return t if t in LINK_PHRASES else None
 
 

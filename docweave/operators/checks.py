@@ -50,6 +50,67 @@ def gold_in_nodes(records: DataFrame, nodes: DataFrame) -> DataFrame:
     return gold.join(nodes.select("paper_id", "node_id"), ["paper_id", "node_id"], "left_anti").select("id", "node_id").distinct()
 
 
+def gold_coverage(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Gold evidence ids checked and those that are no node of the paper: (rule, n)."""
+    gold = records.select("id", "paper_id", F.explode("gold_evidence_node_ids").alias("node_id")).distinct()
+    known = nodes.select("paper_id", "node_id", F.lit(1).alias("known")).distinct()
+    return _counted(gold.join(known, ["paper_id", "node_id"], "left").agg(F.count("*").alias("gold_checked"), F.count_if(F.col("known").isNull()).alias("gold_unknown")))
+
+
+def _counted(counts: DataFrame) -> DataFrame:
+    return counts.unpivot([], counts.columns, "rule", "n").select("rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def seed_coverage(records: DataFrame, seeds: DataFrame, nodes: DataFrame, record: str = "record_id") -> DataFrame:
+    """Records without any seed, and with seeds none of which is a node: (rule, n).
+
+    seeds and nodes are (record, paper_id, node_id) and (paper_id, node_id).
+    """
+    known = seeds.join(nodes.select("paper_id", "node_id", F.lit(1).alias("known")).distinct(), ["paper_id", "node_id"], "left")
+    have = known.groupBy(record).agg(F.count("known").alias("valid"))
+    both = records.select(record).distinct().join(have, record, "left")
+    return _counted(both.agg(F.count_if(F.col("valid").isNull()).alias("no_seeds"), F.count_if(F.col("valid") == 0).alias("no_valid_seed")))
+
+
+def link_integrity(links: DataFrame, nodes: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Links and those without tokens or with an end that is no node, nodes of larger papers without links: (rule, n).
+
+    links: (key, src, dst, link_tokens).
+    """
+    end = lambda p: nodes.select(key, F.col("node_id").alias(p), F.lit(1).alias(f"{p}_known")).distinct()
+    seen = links.join(end("src"), [key, "src"], "left").join(end("dst"), [key, "dst"], "left")
+    of_links = seen.agg(
+        F.count("*").alias("links"),
+        F.count_if(F.size(F.coalesce("link_tokens", F.array().cast("array<string>"))) == 0).alias("empty_link_tokens"),
+        F.count_if(F.col("src_known").isNull()).alias("unknown_source"),
+        F.count_if(F.col("dst_known").isNull()).alias("unknown_destination"),
+    )
+    size = nodes.groupBy(key).agg(F.count("*").alias("n"))
+    bare = nodes.select(key, F.col("node_id").alias("src")).join(links.select(key, "src").distinct(), [key, "src"], "left_anti").join(size.where("n > 1").select(key), key)
+    return _counted(of_links).unionByName(_counted(bare.agg(F.count("*").alias("no_candidates"))))
+
+
+def record_integrity(records: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Records with a blank id, question, answer or seed list, repeated ids, and papers without text: (rule, n).
+
+    documents: (paper_id, raw_document_text).
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    counts = records.agg(
+        F.count_if(blank("id")).alias("blank_id"),
+        F.count_if(blank("query.question")).alias("blank_question"),
+        F.count_if(blank("target_answer.normalized_answer")).alias("blank_answer"),
+        F.count_if(F.size(F.coalesce("query.seed_candidates", F.array().cast(records.schema["query"].dataType["seed_candidates"].dataType))) == 0).alias("no_seeds"),
+    )
+    repeated = records.groupBy("id").count().where("count > 1").agg(F.count("*").alias("repeated_id"))
+    out = _counted(counts).unionByName(_counted(repeated))
+    if documents is not None:
+        text = documents.select("paper_id", blank("raw_document_text").alias("blank"))
+        of = records.select("paper_id").distinct().join(text, "paper_id", "left")
+        out = out.unionByName(_counted(of.agg(F.count_if(F.col("blank").isNull()).alias("no_document"), F.count_if("blank").alias("blank_document"))))
+    return out
+
+
 def require_none(violations: DataFrame) -> None:
     """Raises with the first broken rules; ``violations`` is (rule, n)."""
     bad = violations.where("n > 0").orderBy("rule").limit(20).collect()

@@ -73,10 +73,14 @@ def labelled_links(links: DataFrame, output: str = "raw_output") -> DataFrame:
     return made.withColumn("link_tokens", memory_tokens(F.array("link_phrase")))
 
 
-def with_endpoints(links: DataFrame, nodes: DataFrame, key: str = "paper_seq") -> DataFrame:
-    """Links with texts and titles of both ends; dangling ones dropped."""
+def with_endpoints(links: DataFrame, nodes: DataFrame, key: str = "paper_seq", strict: bool = False) -> DataFrame:
+    """Links with texts and titles of both ends; dangling ones are dropped, if ``strict`` an error."""
     end = lambda p: nodes.select(key, F.col("node_id").alias(p), F.col("section_title").alias(f"{p}_title"), F.col("text").alias(f"{p}_text"))
-    return links.join(end("src"), [key, "src"]).join(end("dst"), [key, "dst"])
+    if not strict:
+        return links.join(end("src"), [key, "src"]).join(end("dst"), [key, "dst"])
+    both = links.join(end("src"), [key, "src"], "left").join(end("dst"), [key, "dst"], "left")
+    missing = F.col("src_text").isNull() | F.col("dst_text").isNull()
+    return both.withColumn("src_text", F.when(missing, F.raise_error(F.lit("an end of a link is no node")).cast("string")).otherwise(F.col("src_text")))
 
 
 def mean_by_destination(edges: DataFrame, vectors: DataFrame, key: str = "paper_seq") -> DataFrame:

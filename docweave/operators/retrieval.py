@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from docweave.session import cut, sized_join
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -20,24 +22,27 @@ def text_dictionary(*texts: DataFrame) -> DataFrame:
     return out.where("text IS NOT NULL").distinct()
 
 
-def ranked(scores: DataFrame, record: str = "record_id", node: str = "node_id") -> DataFrame:
+def ranked(scores: DataFrame, record: str = "record_id", *node: str) -> DataFrame:
     """Rank from 1 by score, then node."""
-    return scores.withColumn("rank", F.row_number().over(W.partitionBy(record).orderBy(F.desc("score"), node)))
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy(record).orderBy(F.desc("score"), *(node or ("node_id",)))))
 
 
-def top_k(scores: DataFrame, k: int = 12, record: str = "record_id", node: str = "node_id") -> DataFrame:
-    """The best k nodes of each record; the rank filter limits groups before the sort."""
-    return ranked(scores, record, node).where(F.col("rank") <= k)
+def top_k(scores: DataFrame, k: int = 12, record: str = "record_id", *node: str) -> DataFrame:
+    """The best k nodes of each record; the rank filter limits groups before the shuffle."""
+    return ranked(scores, record, *node).where(F.col("rank") <= k)
 
 
 def min_max(scores: DataFrame, record: str = "record_id") -> DataFrame:
-    """Scores of each record scaled to 0..1; all 0 if they are equal. Non-finite ones are an error."""
-    w = W.partitionBy(record)
+    """Scores of each record scaled to 0..1; all 0 if they are equal. Non-finite ones are an error.
+
+    The bounds are aggregated before the shuffle and joined back, so a hot record stays spread.
+    """
     s = F.col("score")
     bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    norm = (s - low) / F.greatest(high - low, F.lit(1e-6))
-    return scores.withColumn("norm_score", F.when(bad, F.raise_error(F.lit("score is not finite")).cast("double")).otherwise(norm))
+    bounds = cut(scores.groupBy(record).agg(F.min("score").alias("__low"), F.max("score").alias("__high")))
+    norm = (s - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-6))
+    held = sized_join(scores, bounds, [record])
+    return held.withColumn("norm_score", F.when(bad, F.raise_error(F.lit("score is not finite")).cast("double")).otherwise(norm)).drop("__low", "__high")
 
 
 def summary_text(title: Column, summary: Column) -> Column:

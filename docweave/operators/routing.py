@@ -112,14 +112,18 @@ def reading_order(routed: DataFrame, most: int = 8, record: str = "record_id") -
 
 
 def sampled(cands: DataFrame, count: int, seed: int = 42, record: str = "record_id") -> DataFrame:
-    """Picks without replacement in proportion to exp(score), by Gumbel noise; with log probability.
+    """Picks without replacement in proportion to exp(score), by Gumbel noise; with log probability and entropy.
 
-    The log probability of a pick is its score less the log-sum-exp of it and those after it.
+    The log probability of a pick is its score less the log-sum-exp of it and those after it;
+    the entropy is that of the choice among these. The noise follows from seed, record and
+    node, so it's the same in every run and on every partitioning.
     """
-    u = F.greatest(F.rand(seed), F.lit(1e-12))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(record).cast("string"), F.col("current").cast("string")))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     noisy = cands.withColumn("key", F.col("score") - F.log(-F.log(u)))
     w = W.partitionBy(record).orderBy(F.desc("key"), "current")
     top = F.max("score").over(W.partitionBy(record))
     rest = F.sum(F.exp(F.col("score") - F.col("top"))).over(w.rowsBetween(0, W.unboundedFollowing))
-    placed = noisy.withColumn("top", top).withColumn("place", F.row_number().over(w)).withColumn("log_prob", F.col("score") - F.col("top") - F.log(rest))
+    mean = F.sum(F.exp(F.col("score") - F.col("top")) * (F.col("score") - F.col("top"))).over(w.rowsBetween(0, W.unboundedFollowing))
+    placed = noisy.withColumn("top", top).withColumn("place", F.row_number().over(w)).withColumn("log_prob", F.col("score") - F.col("top") - F.log(rest)).withColumn("entropy", F.log(rest) - mean / rest)
     return placed.where(F.col("place") <= count).drop("key", "top")

@@ -48,12 +48,23 @@ def link(prepared: Prepared, generator: TextGenerator, k: int = 4) -> DataFrame:
     return out.withColumn("link_phrase", T.link_phrase(F.col("edge_type"), F.col("link_label"), F.col("raw_output"))).withColumn("link_tokens", T.memory_tokens(F.array("link_phrase")))
 
 
+def _asked(prepared: Prepared) -> DataFrame:
+    """(id, record_id): each record with the first one of its question and paper, which stands for all."""
+    key = ["paper_seq", "text"]
+    rows = prepared.records.select("id", "paper_seq", F.col("query.question").alias("text"))
+    first = rows.groupBy(*key).agg(F.min("id").alias("record_id"))
+    return rows.join(first, key).select("id", "record_id", *key)
+
+
 def retrieve(prepared: Prepared, embedder: TextEmbedder, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(scores of all nodes with ranks, the top k): each distinct text is embedded once."""
-    questions = prepared.records.select("id", "paper_seq", F.col("query.question").alias("text"))
+    """(scores of all nodes with ranks, the top k) of each question of a paper; each distinct text is embedded once.
+
+    ``record_id`` is the smallest record of the question: annotations don't change scores.
+    """
+    asked = prepared.records.groupBy("paper_seq", F.col("query.question").alias("text")).agg(F.min("id").alias("record_id"))
     passages = prepared.nodes.select("paper_seq", "node_id", F.concat_ws(" ", "section_title", "text").alias("text"))
-    vectors = cut(embed_texts(retrieval.text_dictionary(questions.select("text"), passages.select("text")), embedder))
-    q = questions.join(vectors, "text").select(F.col("id").alias("record_id"), "paper_seq", F.col("vector").alias("q"))
+    vectors = cut(embed_texts(retrieval.text_dictionary(asked.select("text"), passages.select("text")), embedder))
+    q = asked.join(vectors, "text").select("record_id", "paper_seq", F.col("vector").alias("q"))
     n = passages.join(vectors, "text").select("paper_seq", "node_id", F.col("vector").alias("v"))
     scores = q.join(n, "paper_seq").select("record_id", "paper_seq", "node_id", retrieval.dot(F.col("q"), F.col("v")).alias("score"))
     ranked = cut(retrieval.ranked(scores))
@@ -61,7 +72,11 @@ def retrieve(prepared: Prepared, embedder: TextEmbedder, k: int = 12) -> tuple[D
 
 
 def route(prepared: Prepared, scores: DataFrame, fixed: int = 5, picks: int = 3, most: int = 8, top_k: int = 16, seeds: int = 16, hops: int = 2) -> DataFrame:
-    """(record_id, node_id, read_order) of the nodes a reader gets, with the scores as logits."""
+    """(record_id, node_id, read_order) of the nodes a reader gets, with the scores as logits.
+
+    Questions are routed once; all records
+    of a question get its nodes.
+    """
     checks.budgets(fixed, picks, most, top_k, seeds, hops)
     order = documents.document_order(prepared.nodes).select("paper_seq", "node_id", F.col("node_idx").cast("int").alias("idx"))
     nodes = retrieval.min_max(scores).join(order, ["paper_seq", "node_id"]).withColumn("start_logit", F.col("score")).withColumn("norm", F.col("norm_score"))
@@ -72,7 +87,8 @@ def route(prepared: Prepared, scores: DataFrame, fixed: int = 5, picks: int = 3,
     edges = nodes.select("record_id", "paper_seq").distinct().join(e, "paper_seq").drop("paper_seq")
     start = nodes.select("record_id", "idx", "rank") if not seeds else nodes.where(F.col("rank") <= seeds).select("record_id", "idx", "rank")
     routed = routing.route(start, edges, nodes, fixed, picks, top_k, hops)
-    return routing.reading_order(routed, most).join(nodes.select("record_id", "idx", "node_id"), ["record_id", "idx"])
+    read = routing.reading_order(routed, most).join(nodes.select("record_id", "idx", "node_id"), ["record_id", "idx"])
+    return read.join(_asked(prepared).select("id", "record_id"), "record_id").select(F.col("id").alias("record_id"), "idx", "read_order", "node_id")
 
 
 def evaluate(prepared: Prepared, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -96,7 +96,16 @@ def score_coverage(spark, d):
 
 
 def gold_in_nodes(spark, d):
-    return checks.gold_in_nodes(table(spark, d, "records"), table(spark, d, "nodes"))
+    return checks.gold_coverage(table(spark, d, "records"), table(spark, d, "nodes"))
+
+
+def seed_coverage(spark, d):
+    r = table(spark, d, "records").select(F.col("id").alias("record_id"), "paper_id", F.explode_outer("query.seed_candidates").alias("s"))
+    return checks.seed_coverage(r, r.where("s IS NOT NULL").select("record_id", "paper_id", "s.node_id"), table(spark, d, "nodes"))
+
+
+def record_integrity(spark, d):
+    return checks.record_integrity(table(spark, d, "records"), table(spark, d, "raw_records"))
 
 
 def overlength(spark, d):
@@ -125,7 +134,7 @@ def record_segments(spark, d):
     return r.select("record_seq", T.prefix_segment(F.col("doc_meta.title"), F.lit(None).cast("string")).alias("prefix"), T.query_segment(F.col("query.question")).alias("query"), T.target_segment(F.col("target_answer.normalized_answer")).alias("target"))
 
 
-QUERIES = {f.__name__: f for f in (sections, nodes_routable, answers_normalized, evidence_exact, evidence_contained, evidence_similar, evidence_tiered, evidence_match, question_records, record_meta, raw_documents, linearized_documents, segments, split_names, record_prefix, summary_integrity, score_coverage, gold_in_nodes, overlength, paper_keys, node_prompts, reader_segments, record_segments)}
+QUERIES = {f.__name__: f for f in (sections, nodes_routable, answers_normalized, evidence_exact, evidence_contained, evidence_similar, evidence_tiered, evidence_match, question_records, record_meta, raw_documents, linearized_documents, segments, split_names, record_prefix, summary_integrity, score_coverage, gold_in_nodes, seed_coverage, record_integrity, overlength, paper_keys, node_prompts, reader_segments, record_segments)}
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
@@ -230,7 +239,18 @@ UNION ALL SELECT 'missing_summary', count(*) FILTER (ns IS NULL) FROM b UNION AL
 WITH h AS (SELECT record_id AS id, count(*) FILTER (score IS NULL OR isnan(score)) AS bad FROM node_scores GROUP BY ALL),
 b AS (SELECT * FROM (SELECT DISTINCT id FROM records) LEFT JOIN h USING (id))
 SELECT 'no_scores' AS rule, count(*) FILTER (bad IS NULL) AS n FROM b UNION ALL SELECT 'bad_score', CAST(sum(coalesce(bad, 0)) AS BIGINT) FROM b""",
-    "gold_in_nodes": "SELECT DISTINCT id, node_id FROM (SELECT id, paper_id, unnest(gold_evidence_node_ids) AS node_id FROM records) ANTI JOIN nodes USING (paper_id, node_id)",
+    "gold_in_nodes": """WITH g AS (SELECT DISTINCT g.*, n.node_id AS known FROM (SELECT id, paper_id, unnest(gold_evidence_node_ids) AS node_id FROM records) g LEFT JOIN nodes n USING (paper_id, node_id))
+SELECT 'gold_checked' AS rule, count(*) AS n FROM g UNION ALL SELECT 'gold_unknown', count(*) FROM g WHERE known IS NULL""",
+    "seed_coverage": """WITH r AS (SELECT DISTINCT id FROM records),
+s AS (SELECT id, paper_id, unnest("query".seed_candidates).node_id AS node_id FROM records),
+v AS (SELECT id, count(n.node_id) AS valid FROM s LEFT JOIN nodes n USING (paper_id, node_id) GROUP BY ALL)
+SELECT 'no_seeds' AS rule, count(*) FILTER (valid IS NULL) AS n FROM r LEFT JOIN v USING (id) UNION ALL SELECT 'no_valid_seed', count(*) FILTER (valid = 0) FROM r LEFT JOIN v USING (id)""",
+    "record_integrity": """WITH c AS (SELECT count(*) FILTER (trim(coalesce(id, '')) = '') AS blank_id, count(*) FILTER (trim(coalesce("query".question, '')) = '') AS blank_question,
+  count(*) FILTER (trim(coalesce(target_answer.normalized_answer, '')) = '') AS blank_answer, count(*) FILTER (coalesce(len("query".seed_candidates), 0) = 0) AS no_seeds FROM records),
+p AS (SELECT trim(raw_document_text) = '' OR raw_document_text IS NULL AS blank, raw_records.paper_id IS NULL AS none FROM (SELECT DISTINCT paper_id FROM records) LEFT JOIN raw_records USING (paper_id))
+SELECT rule, n FROM (UNPIVOT c ON COLUMNS(*) INTO NAME rule VALUE n)
+UNION ALL SELECT 'repeated_id', count(*) FROM (SELECT id FROM records GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'no_document', count(*) FILTER (none) FROM p UNION ALL SELECT 'blank_document', count(*) FILTER (blank AND NOT none) FROM p""",
     "overlength": """WITH r AS (SELECT paper_id || '::' || node_id AS id, length(text) AS chars FROM nodes)
 SELECT count(*) AS total, count(*) FILTER (chars > 1200) AS dropped, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM r WHERE chars > 1200 ORDER BY id LIMIT 5)) AS first_ids FROM r""",
     "paper_keys": "SELECT record_seq, coalesce(nullif(doc_meta.paper_id, ''), nullif(split_part(id, '::', 1), '')) AS paper_key FROM records",

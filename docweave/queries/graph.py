@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.operators import documents, examples, graph, retrieval, routing
+from docweave.operators import checks, documents, examples, graph, retrieval, routing
 from docweave.session import table
 
 K = "paper_id"
@@ -68,12 +68,18 @@ def _scores(spark, d):
     return s.groupBy("record_id", "paper_id", "node_id").agg(F.max("score").alias("score"))
 
 
+def _all_scores(spark, d):
+    """Finite scores of each record for nodes of any paper, each node once."""
+    s = table(spark, d, "node_scores").where("score IS NOT NULL AND NOT isnan(score)")
+    return s.groupBy("record_id", "paper_id", "node_id").agg(F.max("score").alias("score"))
+
+
 def score_minmax(spark, d):
-    return retrieval.min_max(_scores(spark, d)).select("record_id", "node_id", "norm_score")
+    return retrieval.min_max(_all_scores(spark, d)).select("record_id", "paper_id", "node_id", "norm_score")
 
 
 def score_topk(spark, d):
-    return retrieval.top_k(_scores(spark, d), 12).select("record_id", "node_id", "rank")
+    return retrieval.top_k(_all_scores(spark, d), 12, "record_id", "paper_id", "node_id").select("record_id", "paper_id", "node_id", "rank")
 
 
 def embedding_topk(spark, d):
@@ -138,7 +144,15 @@ def reading_order(spark, d):
 def sampled_route(spark, d):
     seeds, edges, nodes = _routing(spark, d)
     base = routing.valid_seeds(seeds, nodes).where("seed_rank <= 5")
-    return routing.sampled(routing.frontier(base, edges, nodes, 2, 0.2), 3).select("record_id", "current", "place", F.round("log_prob", 6).alias("log_prob"))
+    return routing.sampled(routing.frontier(base, edges, nodes, 2, 0.2), 3).select("record_id", "current", "place", (F.round("log_prob", 6) + 0.0).alias("log_prob"), (F.round("entropy", 6) + 0.0).alias("entropy"))
+
+
+def link_integrity(spark, d):
+    """Links of every second source only, some without tokens, some to nodes that aren't there."""
+    e = graph.chain(_nodes(spark, d), K).where("src % 2 = 0")
+    dst = F.when(F.col("src") % 10 == 0, F.col("dst") + 100_000).otherwise(F.col("dst"))
+    tokens = F.when(F.col("src") % 4 == 0, F.array(F.lit("MEM_X")))
+    return checks.link_integrity(e.withColumn("dst", dst).withColumn("link_tokens", tokens), _nodes(spark, d), K)
 
 
 def assembled_records(spark, d):
@@ -183,7 +197,7 @@ def score_average(spark, d):
     return s.select("record_id", F.round(examples.moving_average(F.col("s"), 0.5), 9).alias("average"))
 
 
-QUERIES = {f.__name__: f for f in (assembled_records, reader_inputs, summary_bundles, summary_scores, score_average, chain_edges, edges_dedup, adjacency_rank, pointer_topk, pointer_links, link_endpoints, link_phrases, message_means, score_minmax, score_topk, embedding_topk, frontier_2hop, seed_tail, route_select, route_capped, route_edges, route_seed_only, reading_order, sampled_route)}
+QUERIES = {f.__name__: f for f in (assembled_records, reader_inputs, summary_bundles, summary_scores, score_average, chain_edges, edges_dedup, adjacency_rank, pointer_topk, pointer_links, link_endpoints, link_phrases, message_means, score_minmax, score_topk, embedding_topk, frontier_2hop, seed_tail, route_select, route_capped, route_edges, route_seed_only, reading_order, sampled_route, link_integrity)}
 
 _EDGES = """
 WITH ord AS (SELECT *, row_number() OVER w - 1 AS idx, lead(node_id) OVER w AS nx, lag(node_id) OVER w AS pv FROM nodes WINDOW w AS (PARTITION BY paper_id ORDER BY section_index, paragraph_index, node_id)),
@@ -228,6 +242,7 @@ rt AS (SELECT record_id, idx, CAST(seed_rank AS INTEGER) AS place, 'fixed' AS so
     )
 
 
+_ALL_SCORES = "WITH a AS (SELECT record_id, paper_id, node_id, max(score) AS score FROM node_scores WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL)"
 SQL = {
     "chain_edges": _EDGES + "SELECT * FROM edg",
     "edges_dedup": _EDGES + "SELECT paper_id, src, dst, edge_type, score, seq FROM dbl QUALIFY row_number() OVER (PARTITION BY paper_id, src, dst, edge_type ORDER BY score DESC NULLS LAST, seq) = 1",
@@ -237,8 +252,8 @@ SQL = {
 bs AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY paper_id, src, dst ORDER BY pr, -s) = 1)
 SELECT paper_id, src, dst, edge_type, s AS score, CAST(row_number() OVER (PARTITION BY paper_id, src ORDER BY pr, -s, dst) AS INTEGER) AS rank FROM bs QUALIFY rank <= 1""",
     "pointer_links": _EDGES + "SELECT paper_id, count(*) AS n_links, count(DISTINCT src) AS n_src FROM edg GROUP BY ALL",
-    "score_minmax": _ROUTE.rstrip().rstrip(",") + " SELECT record_id, node_id, norm AS norm_score FROM sc",
-    "score_topk": _ROUTE.rstrip().rstrip(",") + " SELECT record_id, node_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 12",
+    "score_minmax": _ALL_SCORES + " SELECT record_id, paper_id, node_id, (score - min(score) OVER g) / greatest(max(score) OVER g - min(score) OVER g, 1e-6) AS norm_score FROM a WINDOW g AS (PARTITION BY record_id)",
+    "score_topk": _ALL_SCORES + " SELECT record_id, paper_id, node_id, CAST(row_number() OVER (PARTITION BY record_id ORDER BY score DESC, paper_id, node_id) AS INTEGER) AS rank FROM a QUALIFY rank <= 12",
     "embedding_topk": """
 WITH q AS (SELECT label, arg_min(embedding, vec_id) AS query FROM embeddings WHERE label IS NOT NULL GROUP BY ALL),
 s AS (SELECT label AS record_id, vec_id AS node_id, list_inner_product(query::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings JOIN q USING (label))
@@ -291,4 +306,19 @@ SELECT record_seq, array_to_string(list_concat(list_concat(p, e), list_concat(q,
 )
 SQL["summary_scores"] = """WITH q AS (SELECT label, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY ALL)
 SELECT label AS id, round(avg(list_inner_product(query::DOUBLE[], embedding::DOUBLE[])), 6) AS raw_score, count(*) AS n FROM embeddings JOIN q USING (label) GROUP BY ALL"""
+SQL["sampled_route"] = (
+    _ROUTE
+    + """u AS (SELECT *, (CAST('0x' || md5('42:' || record_id || ':' || current)[:12] AS BIGINT) + 0.5) / 281474976710656.0 AS u FROM fr),
+k AS (SELECT *, score - ln(-ln(u)) AS key, max(score) OVER (PARTITION BY record_id) AS top FROM u),
+r AS (SELECT *, row_number() OVER w AS place, sum(exp(score - top)) OVER v AS rest, sum(exp(score - top) * (score - top)) OVER v AS mean FROM k
+  WINDOW w AS (PARTITION BY record_id ORDER BY key DESC, current), v AS (PARTITION BY record_id ORDER BY key DESC, current ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT record_id, current, CAST(place AS INTEGER) AS place, round(score - top - ln(rest), 6) + 0.0 AS log_prob, round(ln(rest) - mean / rest, 6) + 0.0 AS entropy FROM r WHERE place <= 3"""
+)
+SQL["link_integrity"] = (
+    _EDGES
+    + """, l AS (SELECT paper_id, src, CASE WHEN src % 10 = 0 THEN dst + 100000 ELSE dst END AS dst, src % 4 = 0 AS has FROM edg WHERE src % 2 = 0)
+SELECT 'links' AS rule, count(*) AS n FROM l UNION ALL SELECT 'empty_link_tokens', count(*) FROM l WHERE NOT has UNION ALL SELECT 'unknown_source', 0
+UNION ALL SELECT 'unknown_destination', count(*) FROM l ANTI JOIN (SELECT paper_id, node_id AS dst FROM nodes) USING (paper_id, dst)
+UNION ALL SELECT 'no_candidates', count(*) FROM (SELECT paper_id, node_id AS src FROM nodes WHERE paper_id IN (SELECT paper_id FROM nodes GROUP BY paper_id HAVING count(*) > 1)) ANTI JOIN l USING (paper_id, src)"""
+)
 SQL["score_average"] = _ROUTE.rstrip().rstrip(",") + " SELECT record_id, round(list_reduce(list(score ORDER BY node_id), lambda a, x: 0.5::DOUBLE * a + 0.5::DOUBLE * x), 9) AS average FROM sc0 GROUP BY ALL"

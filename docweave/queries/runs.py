@@ -18,7 +18,8 @@ def _stream(spark, d, name):
 
 
 def stream_event_windows(spark, d):
-    out = incremental.run_to_memory(incremental.event_windows(_stream(spark, d, "events")), f"w{uuid.uuid4().hex}")
+    base = f"{shared_dir(spark)}/docweave-stream-{uuid.uuid4().hex}"
+    out = incremental.run_to_files(incremental.event_windows(_stream(spark, d, "events")), f"{base}/rows", f"{base}/checkpoint", ["window_start", "event_type"])
     return out.select("window_start", "event_type", "n", F.round("total", 2).alias("total"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,18 +63,23 @@ def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
 def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """About ``n`` rows, never more, chosen by a hash of their keys; all rows if there are no more.
 
-    A threshold on the hash, so that no task and not the driver sees more than the sample.
+    A threshold on the hash comes first, so that no task sees more than a tenth above the sample.
     """
     total = df.count()
     if total <= n:
         return df
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(1.1 * n / total * (1 << 30))).limit(n)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver drop the plans, broadcasts and shuffle files of steps that are over.
-
-    Spark's cleaner follows the driver's garbage collector, which may not run for long in
-    loops of many small steps.
-    """
-    spark.sparkContext._jvm.System.gc()
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    few = df.where(place < int(1.1 * n / total * (1 << 30)))
+    # the first n in order of the hash: the same rows whatever the order of the tasks
+    return few.orderBy(place, *keys, F.xxhash64(*df.columns)).limit(n)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at a path, on any storage that the session reads."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return True

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docweave.session import cut, exists
+
 
 def read(spark: SparkSession, path: str, schema: StructType | str, most: int = 0, order: str = "record_seq") -> DataFrame:
     """JSON lines with a fixed schema; ``most`` keeps a prefix by the sequence column."""
@@ -22,7 +24,8 @@ def write(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_kept_and_skipped(df: DataFrame, kept: str, skipped: str, reason: str = "skip_reason") -> None:
-    """Two sinks of one frame: rows without, and rows with a reason."""
+    """Two sinks of one frame, evaluated once: rows without, and rows with a reason."""
+    df = cut(df)
     write(df.where(F.col(reason).isNull()).drop(reason), kept)
     write(df.where(F.col(reason).isNotNull()), skipped)
 
@@ -60,14 +63,18 @@ def jobs(inputs: list[str], outputs: list[str]) -> list[tuple[str, str]]:
     return list(zip(inputs, outputs))
 
 
-def require(paths: list[str], stage: str) -> None:
-    """All files a stage reads must be there."""
-    missing = [p for p in paths if not os.path.exists(p)]
+def require(paths: list[str], stage: str, spark: SparkSession | None = None) -> None:
+    """All files a stage reads must be there; with a session on any storage."""
+    missing = [p for p in paths if not (exists(spark, p) if spark else os.path.exists(p))]
     if missing:
         raise FileNotFoundError(f"{stage} needs {', '.join(missing)}")
 
 
 def done_ids(spark: SparkSession, paths: list[str], key: str = "id") -> DataFrame:
-    """Ids already written; a row without one is an error."""
-    rows = spark.read.json([p for p in paths if os.path.exists(p)]) if any(os.path.exists(p) for p in paths) else spark.createDataFrame([], f"{key} string")
-    return rows.select(F.when(F.coalesce(F.col(key), F.lit("")) == "", F.raise_error(F.lit("a written row has no id")).cast("string")).otherwise(F.col(key)).alias(key)).distinct()
+    """Ids already written, on any storage; a row without one is an error that names the file and the row."""
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], f"{key} string")
+    rows = spark.read.schema(f"`{key}` string, `__broken` string").option("columnNameOfCorruptRecord", "__broken").json(there)
+    rows = rows.select(F.col(key), F.concat_ws(" ", F.lit("a written row has no id:"), F.col("_metadata.file_path"), F.substring("__broken", 1, 200)).alias("__error"))
+    return rows.select(F.when(F.coalesce(F.col(key), F.lit("")) == "", F.raise_error(F.col("__error")).cast("string")).otherwise(F.col(key)).alias(key)).distinct()

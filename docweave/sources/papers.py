@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docweave.operators.documents import SPLITS
-from docweave.session import cut
+from docweave.session import cut, exists, sized_join
 
 _ANSWER = "struct<unanswerable:boolean,extractive_spans:array<string>,free_form_answer:string,yes_no:boolean,evidence:array<string>>"
 TYPES = {
@@ -36,41 +36,57 @@ def _typed(v: Column, name: str) -> tuple[Column, Column]:
 
 
 def from_variant(rows: DataFrame) -> DataFrame:
-    """Typed papers of rows (paper_seq, v) with a VARIANT object each."""
+    """Typed papers of rows (paper_seq, v) with a VARIANT object each; other columns stay."""
     get = lambda p: F.try_variant_get("v", f"$.{p}", "string").alias(p)
-    return rows.select("paper_seq", *[get(p) for p in ("id", "paper_id", "title", "abstract")], *_typed(F.try_variant_get("v", "$.full_text", "variant"), "full_text"), *_typed(F.try_variant_get("v", "$.qas", "variant"), "qas"))
+    kept = [c for c in rows.columns if c not in ("paper_seq", "v")]
+    return rows.select("paper_seq", *kept, *[get(p) for p in ("id", "paper_id", "title", "abstract")], *_typed(F.try_variant_get("v", "$.full_text", "variant"), "full_text"), *_typed(F.try_variant_get("v", "$.qas", "variant"), "qas"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One paper per line; blank lines are skipped, file order is kept as paper_seq."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    seq = F.monotonically_increasing_id()
-    return from_variant(lines.select(seq.alias("paper_seq"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL"))
+    """One paper per line; blank and broken lines are skipped, paper_seq counts from 1 in file order.
+
+    Lines are numbered where they are read; only the sizes of the files' parts meet.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.try_parse_json("value").alias("v"))
+    lines = lines.where("v IS NOT NULL").withColumn("at", F.monotonically_increasing_id())
+    sizes = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    rows = sized_join(lines, _offsets(sizes, ["file", "part"]), ["file", "part"])
+    return from_variant(rows.select((F.col("before") + F.col("at") - F.col("first") + 1).alias("paper_seq"), "v"))
+
+
+def _offsets(sizes: DataFrame, order: list[str]) -> DataFrame:
+    """Rows before each part; one row a part, so one window holds them all."""
+    before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut(sizes.withColumn("before", before))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A whole-file document: a list of papers, or an object of papers by id.
+    """Whole-file documents: a list of papers, or an object of papers by id.
 
     Of an object, the key is taken where a paper lacks its own id; other values are dropped.
+    paper_seq counts from 1 over the files in order of their paths. A file is read by one
+    task, so large collections belong into JSON lines, whose files are split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    as_list = whole.where("schema_of_variant(v) LIKE 'ARRAY%'").select(F.posexplode(F.expr("cast(v as array<variant>)")).alias("paper_seq", "v"), F.lit(None).cast("string").alias("key"))
-    as_map = whole.where("schema_of_variant(v) LIKE 'OBJECT%'").select(F.posexplode(F.map_entries(F.expr("cast(v as map<string, variant>)"))).alias("paper_seq", "e"))
-    as_map = as_map.select("paper_seq", F.col("e.value").alias("v"), F.col("e.key").alias("key"))
-    rows = as_list.unionByName(as_map).where("schema_of_variant(v) LIKE 'OBJECT%'")
-    papers = from_variant(rows.select(F.col("paper_seq").cast("bigint").alias("paper_seq"), "v"))
-    keys = rows.select(F.col("paper_seq").cast("bigint").alias("paper_seq"), "key")
-    out = papers.join(keys, "paper_seq")
+    file = F.col("_metadata.file_path").alias("file")
+    whole = spark.read.text(path, wholetext=True).select(file, F.try_parse_json("value").alias("v"))
+    items = F.expr("filter(cast(v as array<variant>), x -> schema_of_variant(x) LIKE 'OBJECT%')")
+    as_list = whole.where("schema_of_variant(v) LIKE 'ARRAY%'").select("file", F.posexplode(items).alias("at", "v"), F.lit(None).cast("string").alias("key"))
+    entries = F.filter(F.map_entries(F.expr("cast(v as map<string, variant>)")), lambda e: F.schema_of_variant(e["value"]).like("OBJECT%"))
+    as_map = whole.where("schema_of_variant(v) LIKE 'OBJECT%'").select("file", F.posexplode(entries).alias("at", "e"))
+    rows = as_list.unionByName(as_map.select("file", "at", F.col("e.value").alias("v"), F.col("e.key").alias("key")))
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    rows = sized_join(rows, _offsets(sizes, ["file"]), ["file"])
+    out = from_variant(rows.select((F.col("before") + F.col("at") + 1).alias("paper_seq"), "key", "v"))
     return out.withColumn("id", F.coalesce("id", "key")).withColumn("paper_id", F.coalesce("paper_id", "key")).drop("key")
 
 
-def resolve(split: str, roots: list[str], folders: list[str] | None = None, pattern: str = "{split}.json") -> str | None:
-    """The first existing file of a split in the roots and their folders."""
+def resolve(split: str, roots: list[str], folders: list[str] | None = None, pattern: str = "{split}.json", spark: SparkSession | None = None) -> str | None:
+    """The first existing file of a split in the roots and their folders; with a session on any storage."""
     name = pattern.format(split=SPLITS.get(split.strip().lower(), split))
     for root in roots:
         for folder in folders or ["", "raw", "json", "data"]:
             path = os.path.join(root, folder, name)
-            if os.path.exists(path):
+            if exists(spark, path) if spark else os.path.exists(path):
                 return path
     return None
 

@@ -54,9 +54,21 @@ def event_windows(events: DataFrame, width: str = "1 day", late: str = "7 days")
     )
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all available data into a table of this session."""
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs an aggregated stream over all available data in update mode; the last row of each key.
+
+    Each trigger appends the rows that changed, with its number; nothing meets on the driver,
+    and the state of windows behind the watermark is dropped.
+    """
     spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("__epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        rows = spark.read.schema(stream.select("*", F.lit(0).cast("bigint").alias("__epoch")).schema).parquet(f"{path}/*")
+    except AnalysisException:  # no trigger ran
+        return spark.createDataFrame([], stream.schema)
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "__epoch").alias(c) for c in values]).select(*stream.columns)

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.models import plugins
-from docweave.operators import documents
+from docweave.operators import documents, graph
 from docweave.operators.flatten import PAPER_TABLES, Encoding, Flat, flatten, positions
 from docweave.plans import pipeline
-from docweave.session import sized_join
+from docweave.session import hash_sample, sized_join
 from docweave.sources import jsonl, papers
 from docweave.streaming import incremental
 
@@ -42,6 +42,28 @@ def test_json_documents(spark, loaded):
     assert m == {"own": "p1", "p2": "p2"}
     assert papers.read_json(spark, str(loaded / "l.json")).count() == 2
     assert papers.resolve("dev", [str(loaded)], pattern="{split}.json") is None
+    assert papers.resolve("dev", [str(loaded)], pattern="m.json", spark=spark) == f"{loaded}/m.json"
+
+
+def test_sequences_over_files(spark, tmp_path):
+    """Several files, several parts, missing lines: numbers from 1 without holes, a limit is exact."""
+    lines = [{**A, "id": f"p{i:03}"} for i in range(40)]
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps(x) + "\n\n" for x in lines[:25]) + "broken\n")
+    (tmp_path / "b.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines[25:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        p = papers.read_jsonl(spark, f"file:{tmp_path}/*.jsonl")
+        assert p.rdd.getNumPartitions() > 2
+        assert [(r["paper_seq"], r["id"]) for r in p.orderBy("paper_seq").select("paper_seq", "id").collect()] == [(i + 1, x["id"]) for i, x in enumerate(lines)]
+        assert documents.prefix(p, 7, "paper_seq").count() == 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k in (0, 1):
+        (tmp_path / f"l{k}.json").write_text(json.dumps([7, *lines[2 * k : 2 * k + 2]]))
+    got = papers.read_json(spark, str(tmp_path / "*.json"))
+    assert sorted((r["paper_seq"], r["id"]) for r in got.select("paper_seq", "id").collect()) == [(i + 1, f"p{i:03}") for i in range(4)]
+    assert papers.read_json(spark, str(tmp_path / "l0.json")).where("paper_seq <= 1").count() == 1
 
 
 def brute(paper):
@@ -102,6 +124,14 @@ def test_jsonl(spark, tmp_path):
     assert jsonl.count_lines(spark, str(tmp_path / "all")) == 4 and jsonl.count_lines(spark, str(tmp_path / "all"), 3) == 3
     assert "null" in "".join(p.read_text() for p in (tmp_path / "all").glob("*.json"))
     assert jsonl.done_ids(spark, [str(tmp_path / "all"), str(tmp_path / "none")]).count() == 2
+    assert jsonl.done_ids(spark, [f"file:{tmp_path}/all", f"file:{tmp_path}/none"]).count() == 2
+    assert jsonl.done_ids(spark, [f"file:{tmp_path}/none"]).count() == 0
+    with pytest.raises(FileNotFoundError):
+        jsonl.require([f"file:{tmp_path}/none"], "stage", spark)
+    jsonl.require([f"file:{tmp_path}/all"], "stage", spark)
+    (tmp_path / "odd").write_text('{"id": "a"}\n{"x": 1}\n')
+    with pytest.raises(Exception, match="has no id.*odd"):
+        jsonl.done_ids(spark, [str(tmp_path / "odd")]).collect()
     assert jsonl.jobs(["a"], ["b"]) == [("a", "b")]
     with pytest.raises(ValueError):
         jsonl.jobs(["a"], [])
@@ -148,8 +178,8 @@ def test_pipeline(spark, loaded):
     p = pipeline.prepare(papers.read_jsonl(spark, str(loaded / "a.jsonl")))
     assert p.records.count() == 4 and p.edges.count() == 6
     scores, seeds = pipeline.retrieve(p, plugins.HashingEmbedder())
-    assert scores.count() == 2 * 2 + 2 * 3 and seeds.count() == scores.count()
-    assert pipeline.route(p, scores).count() == scores.count()
+    assert scores.count() == 2 + 3 and seeds.count() == scores.count()  # once per question
+    assert pipeline.route(p, scores).count() == 2 * 2 + 2 * 3  # for all annotations
     assert pipeline.link(p, plugins.ExtractiveGenerator()).count() == 6
     guess = p.records.select("id", F.lit("x").alias("prediction"), F.array(F.lit(1)).alias("node_ids"))
     rows, means = pipeline.evaluate(p, guess)
@@ -169,3 +199,28 @@ def test_salted_join(spark):
     for most in (10, 0):
         assert sorted(map(tuple, sized_join(big, small, ["k"], max_broadcast_rows=most).collect())) == sorted([("hot", i, 1.0) for i in range(300)] + [("b", 1, 2.0)])
         assert sized_join(big, small, ["k"], "left", most).count() == 302
+
+
+def test_labels_parse_alike(spark):
+    """The form for single texts and the Column form agree."""
+    from docweave.functions import text as T
+
+    outputs = ["RESULTS .", "- results.", "method-details", "'OTHER'", " 1) Other; ", "foo", "", None, "(evaluation)", "[ RESULTS ]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(outputs)], "i int, x string")
+    got = {r["i"]: r["label"] for r in df.select("i", T.link_label(F.col("x")).alias("label")).collect()}
+    assert [got[i] for i in range(len(outputs))] == [plugins.parse_label(x) for x in outputs]
+
+
+def test_sample_is_stable(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS x")
+    a, b = ({r["id"] for r in hash_sample(f, ["id"], 50).collect()} for f in (df.repartition(3), df.repartition(11, "x")))
+    assert a == b and 30 <= len(a) <= 50
+
+
+def test_links_without_ends(spark):
+    nodes = spark.createDataFrame([("p", 1, "t", "a"), ("p", 2, "t", "b")], "paper_seq string, node_id int, section_title string, text string")
+    links = spark.createDataFrame([("p", 1, 2), ("p", 2, 9)], "paper_seq string, src int, dst int")
+    assert graph.with_endpoints(links, nodes).count() == 1
+    assert graph.with_endpoints(links.where("dst = 2"), nodes, strict=True).count() == 1
+    with pytest.raises(Exception, match="is no node"):
+        graph.with_endpoints(links, nodes, strict=True).collect()
