@@ -230,6 +230,26 @@ def test_defects(spark):
     assert right >= 0.95 * len(want)
 
 
+def test_rare_last_words_are_looked_up(spark, monkeypatch):
+    """With most words outside of the lexicon the verdicts on last words stay the same."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("bdfglmnprst", k=1)[0] + rng.choice("aeiou") for _ in range(5)) for _ in range(60)]
+    rows = []
+    for i in range(900):
+        w = rng.choices(words, k=8)
+        q = f"What does the {w[0]} of the {w[1]} do with the {w[2]} and the {w[3]}?"
+        a = f"the {w[4]} of the {w[5]} is in the {w[6]} for the {w[7][: rng.choice([5, 7, 10, 10, 10, 10])]}"
+        rows.append(("t", str(i), q, a, False))
+    df = spark.createDataFrame(rows, "tbl string, row_key string, prompt string, response string, long_prompt boolean")
+    full = {tuple(r) for r in defects.defects(df).collect()}
+    monkeypatch.setattr(defects, "MAX_WORDS", 20)
+    lexicon, _ = defects.lexicon_of(df)
+    assert not lexicon.whole and len(set(lexicon.count) & set(words)) < 30
+    few = {tuple(r) for r in defects.defects(df).collect()}
+    cut_off = {r[1] for r in rows if r[3].split()[-1] not in words}
+    assert {k for _, k, d in full if d == "truncated"} >= cut_off and len(full ^ few) <= 0.02 * len(full)
+
+
 def test_defects_edges(spark):
     schema = "tbl string, row_key string, prompt string, response string, long_prompt boolean"
     assert defects.defects(spark.createDataFrame([], schema)).count() == 0
@@ -238,7 +258,7 @@ def test_defects_edges(spark):
     assert [g for g in got if g[0] in ("", "2")] == [("", "empty"), ("2", "empty"), ("2", "empty")] and ("1", "empty") not in got
 
 
-@pytest.mark.parametrize("text,want", [(None, True), ("", True), ("​ \n", True), ("N/A", True), ("(no answer given)", True), ("-", True), ("no", False), ("0", False), ("unanswerable", False), ("N/A labels", False)])
+@pytest.mark.parametrize("text,want", [(None, True), ("", True), ("​ \n", True), ("N/A", True), ("(no answer given)", True), ("-", True), ("no", False), ("0", False), ("unanswerable", False), ("N/A labels", False), ("N/A" + " " * 70, True), ("\u200b" * 70 + "N/A" + "\u200b" * 70, True), ("n\u200b/a", True), ("(no answer given) " + "." * 90, True), ("-" * 500, True), ("no answer given by the authors of the parser", False)])
 def test_empty(text, want):
     assert defects.is_empty(text) is want
 
