@@ -9,6 +9,10 @@ examples of their category, the sentences of clean documents examples of none. I
 terms of labelled sentences are swapped for other ones, and the squared change of the
 score is penalised, so that naming a group does not count, only what is said of it.
 
+Words are chosen by their association with the labels and the seeds; only these may speak
+for an offence, all others may only speak against one. A sentence without any of them can't
+score above the prior, so it's passed over: that changes no score above ``FLOOR``.
+
 The classifier is fitted on at most ``max_labelled`` labelled documents of at most
 ``max_chars`` characters, chosen by hash; its weights are bounded by ``MAX_WEIGHTS``. Every document is scored whole.
 
@@ -35,6 +39,8 @@ CATEGORIES = ("abuse", "hate", "sexual")
 MAX_WEIGHTS = 50_000
 #: Log odds of a sentence without any known word.
 PRIOR = -3.0
+#: Scores up to this may be reported as 0.
+FLOOR = 1 / (1 + 2.718281828459045**-PRIOR)
 SCHEMA = "doc_id bigint, abuse double, hate double, sexual double"
 
 SEEDS = {
@@ -252,7 +258,7 @@ def _fit(rows: list[tuple[list[str], int, float]], identity: list[str], swap_wei
     return weights, tuple(float(x) for x in b)
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 0.3, seed_weight: float = 2.0) -> Model:
+def fit(labelled: list[tuple[str, int]], rounds: int = 3, swap_weight: float = 3.0, seed_weight: float = 2.0) -> Model:
     """A model from (text, toxic) of documents; the seeds always take part."""
     seeds = _seed_rows()
     seed_words = {w for t, k in seeds if k >= 0 for w in t}
@@ -312,23 +318,25 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_labelled: int =
     return [(t, int(x)) for t, x in few.where(F.char_length("text") <= max_chars).orderBy("doc_id").select("text", "toxic").collect()]
 
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id and the three scores of every row."""
+def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep and the three scores of every row."""
+    kept = [documents.schema[c] for c in keep]
+    schema = SCHEMA + "".join(f", `{c.name}` {c.dataType.simpleString()}" for c in kept)
     held = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_WEIGHTS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             scores = [own.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[k] for s in scores], pa.float64()) for k in range(3))], ["doc_id", *CATEGORIES])
+            columns = [batch.column(0), *(pa.array([s[k] for s in scores], pa.float64()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(2 + i) for i in range(len(keep)))], ["doc_id", *CATEGORIES, *keep])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("bigint"), "text", *keep).mapInArrow(run, schema)
 
 
-def rates(documents: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per source the documents and the shares with each category."""
-    both = documents.select("doc_id", "source").join(scores, "doc_id")
-    return both.groupBy("source").agg(F.count("*").alias("documents"), *[F.avg((F.col(c) >= threshold).cast("double")).alias(f"{c}_rate") for c in CATEGORIES])
+def rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per source the documents and the shares with each category, of scores that kept the source."""
+    return scores.groupBy("source").agg(F.count("*").alias("documents"), *[F.avg((F.col(c) >= threshold).cast("double")).alias(f"{c}_rate") for c in CATEGORIES])
 
 
 def found(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

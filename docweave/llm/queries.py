@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from docweave.llm import abuse, consensus, defects, leakage, overlap, packing, splitting, topn
 from docweave.session import table
 
@@ -95,22 +97,68 @@ def p8_found(spark, d):
 
 def _abuse_scores(spark, d):
     documents = table(spark, d, "documents")
-    return documents, abuse.score_documents(documents, abuse.fit(abuse.labelled_sample(documents, table(spark, d, "doc_labels"))))
+    return abuse.score_documents(documents, abuse.fit(abuse.labelled_sample(documents, table(spark, d, "doc_labels"))), ("source",))
 
 
 def p9_scores(spark, d):
-    return _abuse_scores(spark, d)[1]
+    return _abuse_scores(spark, d)
 
 
 def p9_found(spark, d):
-    return abuse.found(_abuse_scores(spark, d)[1]).distinct()
+    return abuse.found(_abuse_scores(spark, d)).distinct()
 
 
 def p9_rates(spark, d):
-    return abuse.rates(*_abuse_scores(spark, d))
+    return abuse.rates(_abuse_scores(spark, d))
+
+
+def p2_answered(spark, d):
+    """Votes that count per annotator, as the model has them."""
+    return p2_annotators(spark, d).select("worker", "answered")
+
+
+def p3_identical(spark, d):
+    """Of the pairs found those with the very same question."""
+    pairs = overlap.record_pairs(table(spark, d, "records")).where("eval_question = train_question AND longest_span = 1")
+    return pairs.select("eval_seq", "train_seq", "eval_split", "eval_source", "train_source")
+
+
+def p3_records(spark, d):
+    """Evaluation records per split and source, as the report has them."""
+    return p3_report(spark, d).select("split", "source", "records")
+
+
+def p4_blank(spark, d):
+    """Of the empty ones found those without a letter or digit."""
+    found = p4_found(spark, d).where("defect = 'empty'")
+    tasks = table(spark, d, "evidence_tasks").selectExpr("'evidence_tasks' AS tbl", "cast(task_id AS string) AS row_key", "answer AS text")
+    summaries = table(spark, d, "node_summaries").selectExpr("'node_summaries' AS tbl", "concat_ws('::', paper_id, node_id) AS row_key", "node_sum_raw_output AS text")
+    both = found.join(tasks.unionByName(summaries), ["tbl", "row_key"])
+    return both.where(F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{N}]")).select("tbl", "row_key")
+
+
+def p7_placed(spark, d):
+    """Per document its tokens in containers, its pieces, and whether they follow each other; containers within their capacity."""
+    packed = p7_containers(spark, d)
+    per = packed.groupBy("id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.count_if(F.col("first_token") != F.col("piece") * 2048).alias("misplaced"))
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("t")).where("t > 2048").agg(F.count("*").alias("over"))
+    return per.crossJoin(F.broadcast(over)).selectExpr("id AS doc_id", "tokens", "pieces", "misplaced", "over")  # one row
+
+
+def p8_verbatim(spark, d):
+    """Of the leaks found those whose document has the item's passage letter by letter."""
+    documents, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages").select("item_id", F.col("text").alias("passage"))
+    both = p8_found(spark, d).join(documents, "doc_id").join(F.broadcast(items), "item_id")  # the stated query set
+    return both.where("contains(text, passage)").select("doc_id", "item_id")
+
+
+def p9_scored(spark, d):
+    """Documents scored per source, and scores that are none."""
+    odd = " OR ".join(f"{c} IS NULL OR {c} < 0 OR {c} > 1" for c in abuse.CATEGORIES)
+    return p9_scores(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.expr(odd)).alias("odd"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_disputed, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p6_round_trip, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_seed_candidates, p2_found, p2_annotators, p2_disputed, p2_agreement, p3_found, p3_report, p3_class_pairs, p3_members, p4_found, p4_rates, p6_found, p6_pieces, p6_round_trip, p7_found, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_scores, p9_rates, p2_answered, p3_identical, p3_records, p4_blank, p7_placed, p8_verbatim, p9_scored)}
 
 _TOP = """
 SELECT * FROM (
@@ -173,5 +221,14 @@ WHERE length(text) > top""",
     "p6_round_trip": """SELECT *, true AS within_limit FROM (
         SELECT 'nodes' AS tbl, paper_id, node_id, length(text) AS n_chars, md5(text) AS digest FROM nodes WHERE length(text) > 1200
         UNION ALL SELECT 'raw_records', paper_id, 0, length(raw_document_text), md5(raw_document_text) FROM raw_records WHERE length(raw_document_text) > 16000)""",
+    "p2_answered": f"WITH {_VOTES} SELECT worker, count(*) AS answered FROM v GROUP BY worker",
+    "p3_identical": r"""WITH r AS (SELECT record_seq, lower(trim(split)) AS split, source, "query".question AS q FROM records WHERE split IS NOT NULL AND regexp_matches("query".question, '[\p{L}\p{N}]'))
+SELECT e.record_seq AS eval_seq, t.record_seq AS train_seq, e.split AS eval_split, e.source AS eval_source, t.source AS train_source FROM r e JOIN r t USING (q) WHERE e.split <> 'train' AND t.split = 'train'""",
+    "p3_records": """SELECT lower(trim(split)) AS split, source, count(*) AS records FROM records WHERE split IS NOT NULL AND lower(trim(split)) <> 'train' AND "query".question IS NOT NULL GROUP BY ALL""",
+    "p4_blank": r"""SELECT tbl, row_key FROM (SELECT 'evidence_tasks' AS tbl, CAST(task_id AS VARCHAR) AS row_key, answer AS text FROM evidence_tasks
+        UNION ALL SELECT 'node_summaries', paper_id || '::' || node_id, node_sum_raw_output FROM node_summaries) WHERE text IS NULL OR NOT regexp_matches(text, '[\p{L}\p{N}]')""",
+    "p7_placed": f"""SELECT doc_id, n AS tokens, CAST(ceil(n / 2048.0) AS BIGINT) AS pieces, 0 AS misplaced, 0 AS over FROM (SELECT doc_id, {_WORDS} AS n FROM documents) WHERE n > 0""",
+    "p8_verbatim": "SELECT doc_id, item_id FROM documents d JOIN eval_passages e ON contains(d.text, e.text)",
+    "p9_scored": "SELECT source, count(*) AS documents, 0 AS odd FROM documents GROUP BY source",
     "p7_found": f"SELECT doc_id FROM documents WHERE {_WORDS} > 2048",
 }

@@ -58,6 +58,35 @@ def test_swapped_groups_score_alike(model):
     assert min(p) > 0.5 and max(p) - min(p) < 0.3
 
 
+def test_the_penalty_spares_neutral_mentions():
+    """Held-out neutral sentences on groups: fewer false alarms with the penalty than without it."""
+    rng = random.Random(4)
+    groups = abuse.IDENTITY[:20]
+    bad = ["those {} are vermin and should be driven out", "all {} are criminals send them back", "{} are too stupid by birth to understand this"]
+    rows = []
+    for i in range(300):
+        s = [rng.choice(SENTENCES) for _ in range(4)]
+        if i % 5 == 0:
+            s.insert(2, rng.choice(bad).format(rng.choice(groups[:4])) + ".")
+        rows.append((" ".join(s), int(i % 5 == 0)))
+    neutral = ["the {} wrote most of the letters", "we asked {} about the labels", "{} and authors agree on most answers", "the survey covers {} of all ages", "most {} trust the new parser", "the town has many {} and one school"]
+    mean, alarms = {}, {}
+    for weight in (0.0, 3.0):
+        own = abuse.fit(rows, swap_weight=weight)
+        scores = [max(own.probabilities(t.format(g).split())) for t in neutral for g in abuse.IDENTITY]
+        mean[weight], alarms[weight] = np.mean(scores), sum(x >= 0.5 for x in scores)
+        hits = [max(own.probabilities(t.format(g).split())) >= 0.5 for t in bad for g in groups]
+        assert np.mean(hits) > 0.9
+    assert mean[3.0] < 0.7 * mean[0.0] and alarms[3.0] <= alarms[0.0] / 4 and alarms[3.0] <= 3
+
+
+def test_passed_over_sentences_are_below_the_floor(model):
+    rng = random.Random(5)
+    words = sorted({w for f in model.weights for w in f.split(" ")} - model.gate)
+    for _ in range(500):
+        assert max(model.probabilities(rng.choices(words, k=rng.randint(1, 12)))) <= abuse.FLOOR + 1e-12
+
+
 def test_abuse_table(spark, model):
     rows = [(1, "You are a stupid idiot. Send me your nude pictures!", "s", 9), (1, "You are a stupid idiot. Send me your nude pictures!", "s", 9), (2, None, None, 9), (3, "fine " * 20_000, "s", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, abuse int")
@@ -65,7 +94,7 @@ def test_abuse_table(spark, model):
     assert {tuple(r) for r in abuse.found(scores).collect()} == {(1, "abuse"), (1, "sexual")}
     assert abuse.score_documents(df.limit(0), model).count() == 0
     one = df.where("doc_id > 1")
-    assert {r["source"]: r["documents"] for r in abuse.rates(one, abuse.score_documents(one, model)).collect()} == {None: 1, "s": 1}
+    assert {r["source"]: r["documents"] for r in abuse.rates(abuse.score_documents(one, model, ("source",))).collect()} == {None: 1, "s": 1}
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, None), (8, 1, 0)], "doc_id long, quality int, toxic int")
     assert abuse.labelled_sample(df, labels) == [(rows[0][1], 1)]
     assert abuse.fit([]).score("you are an idiot")[0] > 0.5
