@@ -110,6 +110,7 @@ class Items:
         self.weight = np.ones(self.n_terms)
         self.rare = np.zeros(self.v, bool)
         self.blocks: list[Block] = []
+        self.bits: dict[int, dict[int, int]] = {}  # filled by the tasks as they go
 
     def run_codes(self, t: np.ndarray) -> np.ndarray:
         """Codes of the word pairs; -1 where a word is unknown."""
@@ -338,22 +339,39 @@ def _projected(items: Items) -> Iterator[np.ndarray]:
         yield made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
 
 
-def lcs_positions(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    """One longest common subsequence as pairs of positions."""
-    m, n = len(item), len(part)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    for i in range(m):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (part == item[i])))
-    out, i, j = [], m, n
+def word_bits(item: np.ndarray) -> dict[int, int]:
+    """Places of each word of an item as the bits of a number."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(item.tolist()):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def lcs_positions(item: np.ndarray, part: np.ndarray, bits: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """One longest common subsequence as pairs of positions.
+
+    A row of the table is one number, whose zero bits are the places of the item where the
+    length grows; a word of the part is a few operations on it.
+    """
+    m = len(item)
+    bits = word_bits(item) if bits is None else bits
+    full = row = (1 << m) - 1
+    rows = [row]
+    for w in part.tolist():
+        if own := bits.get(w):
+            both = row & own
+            row = (row + both | row - both) & full
+        rows.append(row)
+    out, i, j = [], m, len(part)
     while i and j:
-        here = table[i, j]
-        if table[i - 1, j] == here:
+        at = 1 << (i - 1)
+        if rows[j] & at:
             i -= 1
-        elif table[i, j - 1] == here:
-            j -= 1
-        else:
+        elif rows[j - 1] & at:
             i, j = i - 1, j - 1
             out.append((i, j))
+        else:
+            j -= 1
     return out[::-1]
 
 
@@ -461,11 +479,13 @@ def _search(ids: np.ndarray, offsets: np.ndarray, t: np.ndarray, b: Items, least
                 piece = text[at : min(hi, at + 2000)]
                 if np.isin(b.run_codes(piece), pairs).sum() < 0.08 * len(own):
                     continue  # a covered half with every third word altered has a sixth
-                rest = own
-                while found_spans := dense_spans(lcs_positions(rest, piece), least=max(2, min(8, len(own) // 3))):
+                if item not in b.bits:
+                    b.bits[item] = word_bits(own)
+                rest, bits = own, b.bits[item]
+                while found_spans := dense_spans(lcs_positions(rest, piece, bits), least=max(2, min(8, len(own) // 3))):
                     for a, e, _ in found_spans:  # parts in another order are found by what is left
                         covered[a:e] = True
-                    rest = np.where(covered, -2, own)
+                    rest, bits = np.where(covered, -2, own), None
         cover = coverage(covered)
         if cover < least_cover:
             continue
