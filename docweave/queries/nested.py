@@ -10,6 +10,14 @@ def p5_found(spark, d):
     return positions(table(spark, d, "papers"), "paper_seq", PAPER_TABLES)
 
 
+def p5_sections(spark, d):
+    return flatten(table(spark, d, "papers"), "paper_seq", PAPER_TABLES["section"])
+
+
+def p5_spans(spark, d):
+    return flatten(table(spark, d, "papers"), "paper_seq", PAPER_TABLES["span"])
+
+
 def p5_paragraphs(spark, d):
     return flatten(table(spark, d, "papers"), "paper_seq", PAPER_TABLES["paragraph"])
 
@@ -26,7 +34,7 @@ def p5_evidence(spark, d):
     return flatten(table(spark, d, "papers"), "paper_seq", PAPER_TABLES["evidence"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_paragraphs, p5_questions, p5_answers, p5_evidence)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_sections, p5_spans, p5_paragraphs, p5_questions, p5_answers, p5_evidence)}
 
 _BASE = """
 WITH sec AS (
@@ -68,6 +76,8 @@ UNION ALL SELECT paper_seq, 'question', CAST(a AS INTEGER), -1, -1 FROM que
 UNION ALL SELECT paper_seq, 'answer', CAST(a AS INTEGER), CAST(b AS INTEGER), -1 FROM ans
 UNION ALL SELECT paper_seq, 'span', CAST(a AS INTEGER), CAST(b AS INTEGER), CAST(c AS INTEGER) FROM spa
 UNION ALL SELECT paper_seq, 'evidence', CAST(a AS INTEGER), CAST(b AS INTEGER), CAST(c AS INTEGER) FROM evi""",
+    "p5_sections": _BASE + "SELECT paper_seq, CAST(a AS INTEGER) AS section, section_name FROM sec",
+    "p5_spans": _BASE + "SELECT paper_seq, CAST(a AS INTEGER) AS question, CAST(b AS INTEGER) AS answer, CAST(c AS INTEGER) AS element, text FROM spa",
     "p5_paragraphs": _BASE + "SELECT paper_seq, CAST(a AS INTEGER) AS section, CAST(b AS INTEGER) AS paragraph, text FROM par",
     "p5_questions": _BASE + "SELECT paper_seq, CAST(a AS INTEGER) AS question, question_text, question_id FROM que",
     "p5_answers": _BASE

@@ -37,6 +37,11 @@ def pipeline_links(spark, d):
     return made.select("paper_seq", "src", "dst", "edge_type", "link_phrase", "attempts")
 
 
+def pipeline_link_keys(spark, d):
+    """Links of the whole stage and how often each was asked for: the built-in generator never names a label."""
+    return pipeline_links(spark, d).select("paper_seq", "src", "dst", "edge_type", "attempts")
+
+
 def pipeline_route(spark, d):
     p = pipeline.prepare(table(spark, d, "papers"))
     return pipeline.route(p, pipeline.retrieve(p, HashingEmbedder())[0])
@@ -47,9 +52,13 @@ def generated_candidates(spark, d):
     return generate(prompts, ExtractiveGenerator(), 4, 2).groupBy("cand").agg(F.count("*").alias("n"), F.countDistinct("output").alias("distinct_outputs"))
 
 
-QUERIES = {f.__name__: f for f in (stream_event_windows, stream_paragraphs, pipeline_links, pipeline_route, generated_candidates)}
+QUERIES = {f.__name__: f for f in (stream_event_windows, stream_paragraphs, pipeline_links, pipeline_link_keys, pipeline_route, generated_candidates)}
 
 SQL = {
+    "pipeline_link_keys": DOCS
+    + """, o AS (SELECT paper_seq, node_id AS src, lead(node_id) OVER w AS nx, lag(node_id) OVER w AS pv FROM nod WINDOW w AS (PARTITION BY paper_seq ORDER BY section_index, paragraph_index, node_id))
+SELECT paper_seq, CAST(src AS INTEGER) AS src, CAST(nx AS INTEGER) AS dst, 'paragraph_next' AS edge_type, 3 AS attempts FROM o WHERE nx IS NOT NULL
+UNION ALL SELECT paper_seq, CAST(src AS INTEGER), CAST(pv AS INTEGER), 'paragraph_prev', 3 FROM o WHERE pv IS NOT NULL""",
     "stream_event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total FROM events GROUP BY ALL",
     "stream_paragraphs": DOCS + "SELECT paper_seq, CAST(section_index AS INTEGER) AS section_index, CAST(paragraph_index AS INTEGER) AS paragraph_index, CAST(token_hint AS INTEGER) AS token_hint FROM nod",
 }
