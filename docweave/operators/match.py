@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docweave.session import cut
+from docweave.session import cut, sized_join
 
 KEY = ["paper_seq", "norm"]
 
@@ -51,6 +51,11 @@ def similar(evidence: DataFrame, nodes: DataFrame, least: float = 0.6) -> DataFr
     return score.withColumn("r", best).where("r = 1").select(*KEY, "node_id")
 
 
+def _of_papers(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Paragraphs of papers that have evidence left, before anything of them is shuffled."""
+    return sized_join(nodes, evidence.select("paper_seq").distinct(), ["paper_seq"])
+
+
 def tiered(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     """(paper_seq, norm, tier, node_id): the first tier that finds anything.
 
@@ -59,10 +64,10 @@ def tiered(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = cut(nodes.select("paper_seq", "node_id", "text"))
     distinct = cut(evidence.select(*KEY).distinct())
     one = cut(exact(distinct, nodes))
-    rest = distinct.join(one.select(*KEY).distinct(), KEY, "left_anti")
-    two = cut(contained(rest, nodes))
-    rest = rest.join(two.select(*KEY).distinct(), KEY, "left_anti")
-    three = similar(rest, nodes)
+    rest = cut(distinct.join(one.select(*KEY).distinct(), KEY, "left_anti"))
+    two = cut(contained(rest, _of_papers(nodes, rest)))
+    rest = cut(rest.join(two.select(*KEY).distinct(), KEY, "left_anti"))
+    three = similar(rest, _of_papers(nodes, rest))
     return one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2))).unionByName(three.withColumn("tier", F.lit(3)))
 
 
