@@ -243,6 +243,20 @@ def test_hot_question_in_blocks_and_classes(spark):
     assert len(members) == len(rows) and sum(r["eval_copies"] * r["train_copies"] for r in pairs) == len(want)
 
 
+def test_broadcasts_are_bounded(spark, monkeypatch):
+    """Finding pairs broadcasts no texts, whose sum no count of rows bounds; a few wide rows aren't broadcast."""
+    sides, join = [], overlap.sized_join
+    monkeypatch.setattr(overlap, "sized_join", lambda big, small, *a, **k: sides.append(small) or join(big, small, *a, **k))
+    rows = [(i, "train" if i % 2 else "test", "s", (f"Which corpus does the parser number {i // 2} of Norrus read?",), "") for i in range(20)]
+    got = {(r["eval_seq"], r["train_seq"]) for r in overlap.record_pairs(spark.createDataFrame(rows, RECORDS), block=1).collect()}
+    assert {(i, i + 1) for i in range(0, 20, 2)} <= got
+    assert sides and {kind for x in sides for _, kind in x.dtypes} <= {"bigint", "int"}
+    big, wide = spark.createDataFrame([("k", 1)], "k string, v int"), spark.createDataFrame([("k", "x" * 3000)], "k string, w string")
+    for most, hinted in ((4000, True), (2000, False)):
+        made = join(big, wide, ["k"], max_broadcast_bytes=most)
+        assert made.count() == 1 and ("strategy=broadcast" in made._jdf.queryExecution().logical().toString()) is hinted
+
+
 def test_overlap_empty(spark):
     assert overlap.record_pairs(spark.createDataFrame([], RECORDS)).count() == 0
 
