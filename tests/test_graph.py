@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,25 @@ def test_checks(spark):
         checks.no_truncation(10)
     with pytest.raises(ValueError):
         checks.budgets(5, 5, 8, 16, 16, 2)
+
+
+def test_similar_shuffles_by_paper_only(spark):
+    """Word sets against brute force; neither words nor pairs of texts are shuffled."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices("abcdefg", k=rng.randint(0, 7)))
+    evidence = [(i % 6, text()) for i in range(90)] + [(1, None), (2, "  ")]
+    nodes = [(i % 6, i, text().upper()) for i in range(90)] + [(1, 99, None)]
+    e, n = spark.createDataFrame(evidence, "paper_seq int, norm string"), spark.createDataFrame(nodes, "paper_seq int, node_id int, text string")
+    want = set()
+    for p, x in set(evidence):
+        scores = {}
+        for q, i, y in nodes:
+            s, t = set((x or "").split()), set((y or "").lower().split())
+            if p == q and s & t and len(s & t) / len(s | t) >= 0.6:
+                scores[i] = len(s & t) / len(s | t)
+        want |= {(p, x, i) for i, j in scores.items() if j == max(scores.values())}
+    made = match.similar(e, n)
+    assert want and sorted(map(tuple, made.collect())) == sorted(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    keys = {k for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) for k in re.findall(r"(\w+)#", x)}
+    assert keys == {"paper_seq"}
