@@ -279,6 +279,30 @@ def test_rare_last_words_are_looked_up(spark, monkeypatch):
     assert {k for _, k, d in full if d == "truncated"} >= cut_off and len(full ^ few) <= 0.02 * len(full)
 
 
+def test_telling_words_beyond_the_lexicon(spark, monkeypatch):
+    """Responses in another language are found by learned words that the lexicon has no room for."""
+    rng = random.Random(22)
+    make = lambda n, ends: ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(4)) + e for e in ends for _ in range(n)]
+    english, german = make(40, "k"), make(40, "z")
+    rows, foreign = [], set()
+    for i in range(1200):
+        e, g = rng.choices(english, k=8), rng.choices(german, k=8)
+        if i % 3 == 0:
+            rows.append(("t", str(i), f"Was ist der {g[0]} und die {g[1]} mit dem {g[2]} und der {g[3]}?", f"der {g[4]} ist nicht die {g[5]} und der {g[6]}.", False))
+        elif i % 20 == 1:
+            foreign.add(str(i))
+            rows.append(("t", str(i), f"What does the {e[0]} of the {e[1]} do with the {e[2]}?", " ".join(g[:5]) + ".", False))
+        else:
+            rows.append(("t", str(i), f"What does the {e[0]} of the {e[1]} do with the {e[2]} and the {e[3]}?", f"the {e[4]} of the {e[5]} is in the {e[6]}.", False))
+    df = spark.createDataFrame(rows, "tbl string, row_key string, prompt string, response string, long_prompt boolean")
+    full = {tuple(r) for r in defects.defects(df).collect()}
+    monkeypatch.setattr(defects, "MAX_WORDS", 20)
+    lexicon, _ = defects.lexicon_of(df)
+    assert not lexicon.told and len(set(lexicon.language) & set(german)) < 20
+    few = {tuple(r) for r in defects.defects(df).collect()}
+    assert {("t", k, "other_language") for k in foreign} <= full and full == few
+
+
 def test_defects_edges(spark):
     schema = "tbl string, row_key string, prompt string, response string, long_prompt boolean"
     assert defects.defects(spark.createDataFrame([], schema)).count() == 0
