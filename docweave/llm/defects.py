@@ -25,8 +25,10 @@ import copy
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import ChainMap, Counter
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +91,8 @@ _SOUND = ["The authors cannot run the parser on the corpus.", 'The annotators sa
 
 _QUOTED = re.compile("[\"“”„«»][^\"“”„«»\n]{0,400}[\"“”„«»]|(?<!\\w)['‘][^'’\n]{2,200}['’](?!\\w)")
 _WORD = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_㐀-鿿぀-ヿ]+(?:[-'’][^\W_㐀-鿿぀-ヿ]+)*")
-_CLAUSE = re.compile(r"[.!?…]+(?=[\s\"'”)\]]|$)[\"'”)\]]*\s*|[。！？]|[;:,\n](?=\s|$|\n)\s*|\n+")
+#: All begin with one set of signs, by which they are searched.
+_CLAUSE = re.compile(r"[.!?…。！？;:,\n](?:(?<=[.!?…])[.!?…]*(?=[\s\"'”)\]]|$)[\"'”)\]]*\s*|(?<=[。！？])|(?<=[;:,\n])(?=\s|$)\s*|(?<=\n))")
 _MARK = re.compile(r"^(?:[-*•]|\d+[.)])\s+")
 _FIRST = re.compile(r"\b(?:i|i'm|i’m|i'd|me|my|assistant|ai|ich|mir|je|j'|yo|lo siento|désolé|désolée)\b|我|抱歉|对不起")
 _CANNOT = re.compile(r"\b(?:cannot|can't|can’t|can not|could not|unable|won't|won’t|will not|not able|not possible|decline[sd]?|declining|refuse[sd]?|rather not|prefer not|not comfortable|no access|not have access|don't have access|not allow(?:ed)?|not permit(?:ted)?|may not|darf|kann|nicht|ne peux|puedo|puede)\b|无法|不能")
@@ -98,9 +101,40 @@ _RULES = re.compile(r"\b(?:guidelines|instructions|policy|policies|usage rules|r
 _GIVEN = re.compile(r"\b(?:answer|reply|response|help|assist|provided?|given|task|comment|topic|denied|refused|declined|against|outside|expert)\b")
 _ANY = re.compile("|".join(p.pattern for p in (_CANNOT, _SORRY, _RULES)))
 _ANSWER_IS = re.compile(r"(?:the answer is|answer|it is|that is|this is)\b")
+_ASKED = re.compile(r"(?:you asked|the question|question|on the question|asked)\b")
 _SCRIPTS = (("ru", re.compile("[Ѐ-ӿ]")), ("zh", re.compile("[一-鿿]")), ("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힯]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("hi", re.compile("[ऀ-ॿ]")))
 N_FEATURES = 40
 
+#: A sign for each set of languages that a word may have.
+_KINDS = {kind: chr(33 + i) for i, kind in enumerate(dict.fromkeys([*_WORD_LANGUAGES.values(), *((x,) for x in LANGUAGE_WORDS), *((x,) for x, _ in _SCRIPTS)]))}
+_OF_KIND = {sign: kind for kind, sign in _KINDS.items()}
+
+#: The beginnings of all that _ANY finds in ASCII text, as runs of letters.
+_ANY_BEGINS = set(
+    "cannot can could unable won will not decline declines declined declining refuse refuses refused rather prefer no have don may darf kann nicht ne puedo puede sorry apologies apologise apologize unfortunately regret leider tut d lo guidelines instructions policy policies usage rules safety settings assistant language request violate violates allowed anything ask".split()
+)
+_GAPS = bytes(i if chr(i).isalnum() or chr(i) in "-'" else 32 for i in range(128)).ljust(256)
+_NO_LETTERS = bytes(i if chr(i).isalpha() else 32 for i in range(128)).ljust(256)
+_LOOSE = re.compile(r"[-'](?:(?<![A-Za-z0-9].)|(?![A-Za-z0-9]))")
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*")
+
+
+def words_in(text: str) -> list[str]:
+    """What _WORD finds, sooner in ASCII text."""
+    if not text.isascii():
+        return _WORD.findall(text)
+    spaced = text.encode().translate(_GAPS).decode()
+    if ("-" in spaced or "'" in spaced) and _LOOSE.search(spaced):
+        return _ASCII_WORD.findall(spaced)
+    return spaced.split()
+
+
+def refuses_nothing(plain: str) -> bool:
+    """Whether _ANY finds nothing in a text of small letters."""
+    if plain.isascii() and _ANY_BEGINS.isdisjoint(plain.encode().translate(_NO_LETTERS).decode().split()):
+        return True
+    return not _ANY.search(plain)
+
 
 def is_empty(text: str | None) -> bool:
     """Nothing said: null, no letters or digits, or a place-holder only."""
@@ -123,17 +157,18 @@ class Lexicon:
         """
         self.whole, self.told = whole, told
         self.language, self.open_ends = self.roles({**(telling or {}), **(counts or {})})
-        self.language |= _WORD_LANGUAGES
+        self.language |= {w: _KINDS[kind] for w, kind in _WORD_LANGUAGES.items()}
         self.open_ends |= dict.fromkeys(OPEN_ENDS)
         self.count: dict[str, int] = {w: 10**6 for w in _WORD_LANGUAGES}
         for w, (n, *_) in (counts or {}).items():
             self.count[w] = max(n, self.count.get(w, 0))
         self.sorted = sorted(w for w, n in self.count.items() if n >= 5)
+        self.begun: dict[tuple[str, int], bool] = {}
 
     @staticmethod
-    def roles(counts: dict[str, tuple[int, str, int, int]]) -> tuple[dict[str, tuple[str, ...]], dict[str, None]]:
-        """Languages of words, and words that end no phrase."""
-        language = {w: (name,) for w, (n, name, of_it, _) in counts.items() if name and of_it >= 20 and of_it >= 0.9 * n}
+    def roles(counts: dict[str, tuple[int, str, int, int]]) -> tuple[dict[str, str], dict[str, None]]:
+        """Languages of words, by the signs of _KINDS, and words that end no phrase."""
+        language = {w: _KINDS[name,] for w, (n, name, of_it, _) in counts.items() if name and of_it >= 20 and of_it >= 0.9 * n}
         return language, {w: None for w, (n, _, of_it, ends) in counts.items() if n >= 200 and ends < 0.002 * n and of_it >= 0.5 * n and w.replace("-", "").isalpha()}
 
     def joined(self, counts: dict[str, tuple[int, str, int, int]]) -> Lexicon:
@@ -155,18 +190,27 @@ class Lexicon:
         if word in near or not word or word[0].isdigit() or word in _WORD_LANGUAGES:
             return False
         own = self.count.get(word, 0)
-        begins = any(w.startswith(word) for w in near) or any(w.startswith(word) and w != word for w in before)
-        if not self.whole and asked is not None and (begins and not own or not name):
-            asked.append((word, begins, name))
-        if own < 5 and begins:
-            return True
-        if name:
-            return False
-        mass, k = 0, bisect_left(self.sorted, word)
-        while k < len(self.sorted) and self.sorted[k].startswith(word) and mass <= 20 * own + 100:
-            mass += self.count[self.sorted[k]] * (self.sorted[k] != word)
-            k += 1
-        return mass > 20 * own
+        ask = not self.whole and asked is not None
+        if own < 5 or ask and not name:
+            begins = any(w.startswith(word) for w in near) or any(w.startswith(word) and w != word for w in before)
+            if ask and (begins and not own or not name):
+                asked.append((word, begins, name))
+            if own < 5 and begins:
+                return True
+        return not name and self.rarer(word, own)
+
+    def rarer(self, word: str, own: int) -> bool:
+        """Whether a word of ``own`` occurrences is far rarer than those it begins; frequent answers are kept."""
+        made = self.begun.get((word, own))
+        if made is None:
+            mass, k = 0, bisect_left(self.sorted, word)
+            while k < len(self.sorted) and self.sorted[k].startswith(word) and mass <= 20 * own + 100:
+                mass += self.count[self.sorted[k]] * (self.sorted[k] != word)
+                k += 1
+            made = mass > 20 * own
+            if len(self.begun) < 20_000:
+                self.begun[word, own] = made
+        return made
 
     def of(self, text: str, words: list[str]) -> str:
         """The language of a text, '' if it can't be told."""
@@ -178,29 +222,35 @@ class Lexicon:
                     return name
         seen: dict[str, float] = {}
         known = 0
-        for languages, n in Counter(map(self.language.get, words)).items():
-            if languages:
-                known += n
-                for name in languages:  # a word of several languages counts for each, but less
-                    seen[name] = seen.get(name, 0.0) + n * (1.0 if len(languages) == 1 else 0.6)
+        kinds = "".join(map(self.language.get, words, repeat("")))
+        while kinds:
+            rest = kinds.replace(kinds[0], "")
+            languages, n = _OF_KIND[kinds[0]], len(kinds) - len(rest)
+            known += n
+            for name in languages:  # a word of several languages counts for each, but less
+                seen[name] = seen.get(name, 0.0) + n * (1.0 if len(languages) == 1 else 0.6)
+            kinds = rest
         if not seen:
             return ""
-        best = max(seen, key=lambda k: (seen[k], k))
-        clear = all(seen[k] < seen[best] for k in seen if k != best)
-        return best if clear and seen[best] >= 1.6 and seen[best] >= 0.55 * known else ""
+        best = max(seen, key=seen.get)
+        return best if [*seen.values()].count(seen[best]) == 1 and seen[best] >= 1.6 and seen[best] >= 0.55 * known else ""
 
 
 class Prompt:
-    """What features need of a prompt."""
-
-    __slots__ = ("words", "set", "runs", "language")
+    """What features need of a prompt; most of it is made when it is asked for."""
 
     def __init__(self, text: str | None, lexicon: Lexicon):
-        low = (text or "").lower()
-        self.words = _WORD.findall(low)
-        self.set = set(self.words)
+        self.low, self.lexicon = (text or "").lower(), lexicon
+        self.words = words_in(self.low)
         self.runs = None
-        self.language = lexicon.of(low, self.words) if low else ""
+
+    @cached_property
+    def set(self) -> set[str]:
+        return set(self.words)
+
+    @cached_property
+    def language(self) -> str:
+        return self.lexicon.of(self.low, self.words) if self.low else ""
 
     def has_runs(self, words: list[str]) -> float:
         if self.runs is None:
@@ -209,17 +259,24 @@ class Prompt:
         return sum(r in self.runs for r in zip(words, words[1:], words[2:])) / n if n > 0 else 0.0
 
 
+def unmarked(text: str) -> str:
+    """A text without the mark of a list entry."""
+    m = _MARK.match(text)
+    return text[m.end() :] if m else text
+
+
 def clauses(text: str) -> list[tuple[str, str]]:
     """Clauses and what ends them."""
     out, at = [], 0
     for m in _CLAUSE.finditer(text):
-        if (body := _MARK.sub("", text[at : m.start()].strip())) and any(c.isalnum() for c in body):
-            out.append((body, m.group().strip() or "\n"))
-        elif out and m.group().strip():
-            out[-1] = (out[-1][0], m.group().strip())
+        end = m.group().strip()
+        if _ALNUM.search(body := unmarked(text[at : m.start()].strip())):
+            out.append((body, end or "\n"))
+        elif out and end:
+            out[-1] = (out[-1][0], end)
         at = m.end()
-    if (body := text[at:].strip()) and any(c.isalnum() for c in body):
-        out.append((_MARK.sub("", body), ""))
+    if (body := text[at:].strip()) and _ALNUM.search(body):
+        out.append((unmarked(body), ""))
     elif body and out:
         out[-1] = (out[-1][0], out[-1][1] + body)
     return out
@@ -235,13 +292,14 @@ def describe(text: str, prompt: Prompt, lexicon: Lexicon, long_prompt: bool, uns
     parts = clauses(bare)
     if not parts:
         return [], []
-    whole_words = [_WORD.findall(p.lower()) for p, _ in parts]
+    whole_words = [words_in(p.lower()) for p, _ in parts]
     everything = [w for ws in whole_words for w in ws]
     language = lexicon.of(bare, everything)
-    differs = bool(language and prompt.language and language != prompt.language)
+    same = bool(language) and language == prompt.language
+    differs = bool(language and not same and prompt.language)
     first_line = whole_words[0]
     plain = bare.lower()
-    nothing_refused = not _ANY.search(plain)
+    nothing_refused = refuses_nothing(plain)
     first_person = not nothing_refused and bool(_FIRST.search(plain))
     ended = parts[-1][1]
     out, sizes = [], []
@@ -259,7 +317,7 @@ def describe(text: str, prompt: Prompt, lexicon: Lexicon, long_prompt: bool, uns
                 f.append(7)
                 if len(everything) >= 3 and ws and ws[-1] in (OPEN_ENDS if long_prompt else lexicon.open_ends) and (body[-1].isalpha() or body[-1] == "-"):
                     f.append(9)
-                if len(everything) >= 4 and body[-1].isalnum() and (unseen or unseen is not None and lexicon.fragment(ws[-1], prompt.set, everything, not _WORD.findall(body)[-1].islower(), asked)):
+                if len(everything) >= 4 and body[-1].isalnum() and (unseen or unseen is not None and lexicon.fragment(ws[-1], prompt.set, everything, not words_in(body)[-1].islower(), asked)):
                     f.append(10)
             elif end[-1] in ",;:":
                 f.append(11)
@@ -275,7 +333,7 @@ def describe(text: str, prompt: Prompt, lexicon: Lexicon, long_prompt: bool, uns
             f.append(16)
             if lexicon.of(body, ws) not in ("", prompt.language):
                 f.append(17)
-        elif language and language == prompt.language:
+        elif same:
             f.append(18)
         cannot = sorry = rules = None
         if not nothing_refused:
@@ -299,20 +357,20 @@ def describe(text: str, prompt: Prompt, lexicon: Lexicon, long_prompt: bool, uns
         answers = bool(_ANSWER_IS.match(low))
         if ws and prompt.words:
             if long_prompt:
-                if n - 0.5 * sum("㐀" <= w[0] <= "鿿" for w in ws) >= 5:  # two signs make a word
+                if n >= 5 and n - 0.5 * sum("㐀" <= w[0] <= "鿿" for w in ws) >= 5:  # two signs make a word
                     share = prompt.has_runs(ws)
                     f.append(26 if share >= 0.8 else 27 if share >= 0.5 else 28)
-                elif n >= 2 and len(everything) >= 12 and "\n" not in bare and sum(w in prompt.set for w in ws) == n:
+                elif n >= 2 and len(everything) >= 12 and "\n" not in bare and prompt.set.issuperset(ws):
                     f.append(29)
             else:
-                share = 0.0 if answers else sum(w in prompt.set for w in ws) / n
+                share = 0.0 if answers else sum(map(prompt.set.__contains__, ws)) / n
                 if n >= 3:
                     f.append(30 if share >= 0.85 else 31 if share >= 0.5 else 32)
                 elif share == 1:
                     f.append(33)
                 if n >= 3 and share >= 0.7 and n >= 0.6 * len(prompt.words):
                     f.append(34)
-        if re.match(r"(?:you asked|the question|question|on the question|asked)\b", low):
+        if _ASKED.match(low):
             f.append(35)
         if answers:
             f.append(36)
@@ -329,7 +387,7 @@ class Field:
     def __init__(self):
         self.w = np.zeros((N_FEATURES, len(TAGS)))
         self.t = np.zeros((len(TAGS), len(TAGS)))
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[tuple, list[int]] = {}
 
     @staticmethod
     def pad(rows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +441,7 @@ class Field:
 
     def tag(self, row: list[list[int]]) -> list[int]:
         """The best tags of one response; those of frequent rows of features are kept."""
-        key = str(row)
+        key = tuple(map(tuple, row))
         made = self.kept.get(key)
         if made is None:
             made = self._best(row)
@@ -411,6 +469,8 @@ def verdict(text: str, prompt: Prompt, lexicon: Lexicon, field: Field, long_prom
     if not rows:
         return None
     tags = field.tag(rows)
+    if not any(tags):  # answers only
+        return None
     share = np.bincount(tags, sizes, len(TAGS)) / sum(sizes)
     if share[FOREIGN] >= 0.5:
         return "other_language"
@@ -424,6 +484,7 @@ def verdict(text: str, prompt: Prompt, lexicon: Lexicon, field: Field, long_prom
 
 
 _PAUSE = re.compile(r"[.!?,;:)\n]")
+_PAUSES = bytes.maketrans(b".!?,;:)", b"\n" * 7)
 
 
 def last_name(text: str, prompt: Prompt) -> str | None:
@@ -432,7 +493,10 @@ def last_name(text: str, prompt: Prompt) -> str | None:
         text = text.rstrip()
         if not text[-1:].isalnum():
             return None
-    words = _WORD.findall(text)
+    last = text[text.rfind(" ") + 1 :]
+    if last.isascii() and last.islower():  # its last word has small letters, or digits only
+        return None
+    words = words_in(text)
     if len(words) < 4 or words[-1].islower() or words[-1][0].isdigit() or words[-1].lower() in prompt.set or "一" <= words[-1] <= "鿿":
         return None
     return words[-1].lower()
@@ -441,14 +505,15 @@ def last_name(text: str, prompt: Prompt) -> str | None:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words: by language of their text where in lower case, and at ends."""
     base = Lexicon()
-    seen: dict[str, Counter[str]] = {}
+    seen: defaultdict[str, Counter[str]] = defaultdict(Counter)
     ends: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                words = _WORD.findall(text)
-                seen.setdefault(base.of(text, words), Counter()).update(words)
-                ends.update([s[s.rfind(" ") + 1 :] for s in _PAUSE.split(text)])
+                words = words_in(text)
+                seen[base.of(text, words)].update(words)
+                phrases = text.encode().translate(_PAUSES).decode().split("\n") if text.isascii() else _PAUSE.split(text)
+                ends.update([s[s.rfind(" ") + 1 :] for s in phrases])
     rows: list[tuple[str, str, int, int]] = []
     for language, counter in seen.items():
         for w, c in counter.items():
@@ -511,7 +576,7 @@ def lexicon_of(prompts: DataFrame) -> tuple[Lexicon, DataFrame]:
 
 def _words_of(prompt: str | None, response: str | None) -> set[str]:
     """All words whose roles a verdict may ask for."""
-    return {w for x in (prompt, response, unquoted(response or "")) for w in _WORD.findall((x or "").lower())}
+    return {w for x in (prompt, response, unquoted(response or "")) for w in words_in((x or "").lower())}
 
 
 def _with_lacking(pairs: DataFrame, lacking: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -632,11 +697,12 @@ def defects(pairs: DataFrame, max_examples: int = 2500, max_chars: int = 3000) -
     """
     spark = pairs.sparkSession
     columns = ["tbl", "row_key", "prompt", "response", "long_prompt"]
-    kept = cut(pairs.select(*columns).withColumn("id", F.monotonically_increasing_id()))  # read three times
-    pairs = kept.drop("id")
+    fits = (F.char_length("response") <= max_chars) & (F.char_length("prompt") <= max_chars)
+    kept = cut(pairs.select(*columns).withColumns({"id": F.monotonically_increasing_id(), "fits": fits}))  # read three times
+    pairs = kept.select(*columns)
     top, known = word_counts(pairs)
     lexicon, lacking = held_words(top)
-    chosen = hash_sample(pairs.where((F.char_length("response") <= max_chars) & (F.char_length("prompt") <= max_chars)), ["tbl", "row_key"], max_examples)
+    chosen = hash_sample(kept.where("fits").select(*columns), ["tbl", "row_key"], max_examples)
     samples = [(r[0], r[1], r[2]) for r in chosen.select("prompt", "response", "long_prompt", "tbl", "row_key").collect()]
     taught = lexicon
     if not lexicon.whole and samples:  # what the lexicon lacks of the sample's words
